@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quillspark.llm import bpe_fst, exact_dedup, mixing, orc_tokens, simhash
+from quillspark.llm import bpe_fst, exact_dedup, mixing, orc_tokens, quality_rules, simhash
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_simhash": simhash.op2_simhash,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_bpe_codec": bpe_fst.op5_bpe_codec,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_quality_rules": quality_rules.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
 }
