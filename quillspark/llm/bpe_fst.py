@@ -36,9 +36,9 @@ from quillspark.llm.common import no_text
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Bounds of what a worker keeps: chunks, length of a kept chunk, transducer states.
-CACHE_CHUNKS, CACHE_LENGTH, MOST_STATES = 400_000, 64, 200_000
+CACHE_CHUNKS, CACHE_LENGTH, MOST_STATES = 300_000, 48, 300_000
 
-ROOT = 0
+ROOT, NEVER = 0, 1 << 40
 Hypothesis = tuple[int, int, tuple[int, ...]]
 
 
@@ -68,6 +68,8 @@ class Transducer:
                 node = self.child[key]
             self.token_at[node] = rank
         self.fits: dict[int, bool] = {}
+        self.made: dict[int, tuple[int, int] | None] = {}
+        self.spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self.reset()
 
     def reset(self) -> None:
@@ -77,25 +79,61 @@ class Transducer:
         self.rest: list[tuple[int, ...]] = [()]
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """The merges applied one by one; only pairs of tokens are put through this."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 40))
-            if parts[best] + parts[best + 1] not in self.ranks:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return [self.ranks[x] for x in parts]
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes the token; None for a byte, and for a token no merges lead to."""
+        if token not in self.made:
+            data, self.made[token] = self.tokens[token], None
+            parts = [data[i : i + 1] for i in range(len(data))]
+            while len(parts) > 2:
+                best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], NEVER))
+                if parts[best] + parts[best + 1] not in self.ranks:
+                    break
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            if len(parts) == 2:
+                self.made[token] = self.ranks[parts[0]], self.ranks[parts[1]]
+        return self.made[token]
+
+    def spine(self, token: int, side: int) -> list[int]:
+        """From a byte up to the token: the tokens that stand at its right (side 1) or left (0) edge while it is merged."""
+        found = self.spines[side].get(token)
+        if found is None:
+            found = [token]
+            while (parts := self.halves(found[-1])) is not None:
+                found.append(parts[side])
+            found.reverse()
+            self.spines[side][token] = found
+        return found
 
     def fit(self, left: int, right: int) -> bool:
-        """Whether the two tokens next to each other stay as they are (left -1: right alone)."""
+        """Whether the two tokens next to each other stay as they are (left -1: right alone).
+
+        The edges facing each other grow along their spines in the order of ranks; the border
+        falls if at some time the pair across it ranks before the next merge on either side
+        (of equal ranks the leftmost merge comes first).
+        """
         key = (left + 1) << 32 | right
-        if key not in self.fits:
-            if left < 0:
-                self.fits[key] = self.merged(self.tokens[right]) == [right]
-            else:
-                self.fits[key] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-        return self.fits[key]
+        found = self.fits.get(key)
+        if found is not None:
+            return found
+        if left < 0:
+            good = len(self.tokens[right]) == 1 or self.halves(right) is not None
+        else:
+            a, b, i, j, good = self.spine(left, 1), self.spine(right, 0), 0, 0, True
+            while True:
+                across = self.ranks.get(self.tokens[a[i]] + self.tokens[b[j]], NEVER)
+                next_a = a[i + 1] if i + 1 < len(a) else NEVER
+                next_b = b[j + 1] if j + 1 < len(b) else NEVER
+                if across < next_a and across <= next_b:
+                    good = False
+                    break
+                if next_a == next_b == NEVER:
+                    break
+                if next_a <= next_b:
+                    i += 1
+                else:
+                    j += 1
+        self.fits[key] = good
+        return good
 
     def advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """Determinises one transition: the next state and the tokens that are now certain."""
@@ -131,6 +169,7 @@ class Transducer:
             return [whole]
         if len(self.hypotheses) > MOST_STATES:
             self.reset()
+            self.fits.clear()
         state, out, step = 0, [], self.step
         for byte in data:
             found = step.get(state << 8 | byte) or self.advance(state, byte)
@@ -171,6 +210,11 @@ class StreamDecoder:
         return out
 
 
+def chunks(text: str) -> list[str]:
+    """The text cut before every run of white space that follows other characters."""
+    return CHUNK.findall(text)
+
+
 class Codec:
     """Texts to ids and back, with the caches of one worker process."""
 
@@ -179,25 +223,35 @@ class Codec:
 
         self.transducer = Transducer(load_ranks(data))
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
-        self.written: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = {mark: b" %d" % self.transducer.ranks[mark.encode()] for mark in ".,"}
         self.bytes_of = {b"%d" % rank: token for token, rank in self.transducer.ranks.items()}
 
     def chunk_ids(self, chunk: str) -> list[int]:
         return [i for match in self.pattern.finditer(chunk) for i in self.transducer.encode(match[0].encode())]
 
-    def write(self, chunk: str) -> bytes:
+    def look(self, chunk: str) -> bytes:
         """The chunk's ids in decimal, joined by spaces."""
-        out = b" ".join([b"%d" % i for i in self.chunk_ids(chunk)])
+        out = self.young.get(chunk) or self.old.get(chunk)
+        if out is None:
+            if chunk[-1] in ".," and chunk[1:-1].isalpha() and chunk[0] == " ":  # a word and a mark match apart
+                out = self.look(chunk[:-1]) + self.marks[chunk[-1]]
+            elif chunk[1:].isalpha() and chunk[0] == " ":
+                out = b" ".join([b"%d" % i for i in self.transducer.encode(chunk.encode())])
+            else:
+                out = b" ".join([b"%d" % i for i in self.chunk_ids(chunk)])
         if len(chunk) <= CACHE_LENGTH:
-            if len(self.written) >= CACHE_CHUNKS:
-                self.written.clear()
-            self.written[chunk] = out
+            if len(self.young) >= CACHE_CHUNKS:
+                self.old = dict(self.young)
+                self.young.clear()
+            self.young[chunk] = out
         return out
 
     def encode_decimal(self, text: str) -> bytes:
         """Ids of the text in decimal, joined by single spaces."""
-        chunks, get = CHUNK.findall(text), self.written.get
-        return b" ".join([get(c) or self.write(c) for c in chunks])
+        get, look = self.young.get, self.look
+        return b" ".join([get(c) or look(c) for c in chunks(text)])
 
     def decode_stream(self, ids: Iterable[bytes], block: int = 4096) -> Iterator[str]:
         """Text, piece by piece, of ids in decimal."""
