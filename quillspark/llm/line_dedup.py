@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import Scratch, row_id
 
-#: Words a repeated run needs, and rows of lines sent back at once.
+#: Words a repeated run needs; rows of lines sent back at once, and documents rebuilt at once.
 LEAST = 10
-FLUSH = 100_000
+FLUSH, SLICE = 100_000, 256
 
 LINES = "row_id long, seq int, h1 long, h2 long, ahead int, back int"
 
@@ -144,7 +144,7 @@ def later_lines(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
 
 
 def _rebuilt(batches: Iterator[pa.RecordBatch], text_at: int, width: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
         texts, counts, gone = [], [], []
         for text, seqs in zip(batch.column(text_at), batch.column(width), strict=True):
             text, drop = text.as_py(), seqs.as_py()
@@ -175,7 +175,8 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", tex
     names = whole.columns
     keyed = whole.select(F.col("__row").alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     gone = scratch.save(later_lines(keyed, least, scratch), "gone")
-    joined = whole.join(gone.withColumnRenamed("row_id", "__row").withColumnRenamed("seqs", "__gone"), "__row", "left").select(*names, "__gone")
+    # by sort-merge at every size: the list of lines to delete grows with the corpus
+    joined = whole.join(gone.withColumnRenamed("row_id", "__row").withColumnRenamed("seqs", "__gone").hint("merge"), "__row", "left").select(*names, "__gone")
     types = dict(whole.dtypes)
     at, width = names.index(text_col), len(names)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "`__lines` long", "`__removed` long"])
