@@ -6,9 +6,8 @@ narrow columns of the written files) give every partition's offset, so a
 document's position in the whole stream needs no global scan. Readers take any
 stripe alone, and prune stripes by the doc_id statistics and Bloom filters.
 
-The tokenizer drops white space and no merge or normalisation crosses it, so a
-text is encoded as its space-separated chunks; distinct chunks are encoded once
-a worker by the tokenizers library and kept in a bounded cache.
+No merge crosses the words that the vocabulary splits a text into, so the words
+are encoded by the tokenizers library and kept in a bounded cache of the worker.
 
 Defined results: null text is empty and has only the end id; null doc_ids come
 last; rows with one doc_id are ordered by text, repeated rows stay side by side; an empty
@@ -17,6 +16,7 @@ table gives an empty result. Extra columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -29,46 +29,84 @@ from quillspark.llm.common import no_text, scratch_path
 
 #: Fixed value: the id appended to each document.
 END_ID = 2
-#: Chunks kept in a worker's cache, and the longest that is kept.
-CACHE_CHUNKS, CACHE_LENGTH = 400_000, 64
+#: Words and chunks kept in each of the two generations of a worker's cache, and the longest kept (bytes).
+CACHE_WORDS, CACHE_LENGTH = 450_000, 48
 #: Ids in one Arrow batch sent back to the JVM.
 FLUSH_IDS = 1_000_000
+#: The vocabulary's own split into words, and Unicode's White_Space, which its \\s means.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+"
 
-_worker: dict[int, tuple[object, dict[bytes, bytes]]] = {}
 
+class WordEncoder(dict[bytes, bytes]):
+    """Texts to ids by way of a bounded cache from a word's UTF-8 to its ids' bytes.
 
-def _encoder(spec: str) -> tuple[object, dict[bytes, bytes]]:
-    """The tokenizer and the chunk cache of this worker process."""
-    key = zlib.crc32(spec.encode())
-    if key not in _worker:
+    The text is normalised and split as the vocabulary file says: NFC, lower case letter by letter,
+    PIECE. Chunks between blanks are cached like words. What the young generation lacks is sought in the
+    old one, else built of its words; a word goes through the model of the tokenizers library.
+    """
+
+    def __init__(self, spec: str):
+        import regex
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(spec)
-        tokenizer.encode_special_tokens = True  # a special token's name in a text is ordinary text
-        _worker[key] = tokenizer, {}
+        self.tokenizer = Tokenizer.from_str(spec)
+        self.model = self.tokenizer.model.tokenize
+        self.split = regex.compile(PIECE).findall
+        self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.letters = dict(enumerate(byte_letters()))
+        self.old: dict[bytes, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        """Ids of one word, each of its bytes written as the vocabulary's letter for it."""
+        if not word.isascii() or not word.isalpha():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        coded = self.coded
+        return b"".join([coded[token.id] for token in self.model(word)])
+
+    def __missing__(self, key: bytes) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            text = key.decode()
+            if text.isalpha():
+                ids = self.word(text)
+            else:
+                words = [text[:-1], text[-1]] if text[-1] in ".," and text[:-1].isalpha() else self.split(text)
+                ids = self.word(text) if words == [text] else b"".join([self[w.encode()] for w in words])
+        if len(key) <= CACHE_LENGTH:
+            self[key] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        """Ids of the text as little-endian unsigned 32-bit integers, without the end id."""
+        if len(self) > CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        # letter by letter: Python alone would give a final sigma its own form
+        lower = text.replace("\u03a3", "\u03c3").lower()
+        return b"".join(map(self.__getitem__, lower.encode().split()))  # at ASCII blanks, which no word crosses
+
+
+def byte_letters() -> list[str]:
+    """The printable letter that byte-level vocabularies write for each byte: its own, or the next free one from U+0100 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
+
+
+_worker: dict[int, WordEncoder] = {}
+
+
+def encoder(spec: str) -> WordEncoder:
+    """The encoder of this worker process."""
+    key = hash(spec)
+    if key not in _worker:
+        _worker[key] = WordEncoder(spec)
     return _worker[key]
 
 
-def encode_text(text: str, spec: str) -> bytes:
-    """Ids of the text as little-endian unsigned 32-bit integers, without the end id."""
-    tokenizer, cache = _encoder(spec)
-    chunks = text.encode().split()
-    try:
-        return b"".join([cache[c] for c in chunks])
-    except KeyError:
-        pass
-    missing = [*{c for c in chunks if c not in cache}]
-    if len(cache) + len(missing) > CACHE_CHUNKS:
-        cache.clear()
-        missing = [*set(chunks)]
-    extra: dict[bytes, bytes] = {}
-    for at in range(0, len(missing), 4096):
-        part = missing[at : at + 4096]
-        for chunk, coded in zip(part, tokenizer.encode_batch([c.decode() for c in part], add_special_tokens=False), strict=True):
-            (cache if len(chunk) <= CACHE_LENGTH else extra)[chunk] = np.asarray(coded.ids, "<u4").tobytes()
-    return b"".join([cache[c] if c in cache else extra[c] for c in chunks])
-
-
 def _encode(batches: Iterator[pa.RecordBatch], spec: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -76,7 +114,7 @@ def _encode(batches: Iterator[pa.RecordBatch], spec: str, end_id: int) -> Iterat
     ids: list[int | None] = []
     coded: list[bytes] = []
     starts: list[int] = []
-    held = 0
+    held, encode = 0, encoder(spec).encode
 
     def flush() -> pa.RecordBatch:
         lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
@@ -92,7 +130,7 @@ def _encode(batches: Iterator[pa.RecordBatch], spec: str, end_id: int) -> Iterat
     for batch in batches:
         doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
         for i, doc_id in enumerate(doc_ids):
-            out = encode_text(texts[i].as_py(), spec) + end
+            out = encode(texts[i].as_py()) + end
             ids.append(doc_id)
             coded.append(out)
             starts.append(start)

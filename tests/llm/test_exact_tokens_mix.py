@@ -184,3 +184,17 @@ def test_orc_prunes_by_doc_id(spark, make):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,1)]" in one._jdf.queryExecution().toString()
     orc_tokens.write_tokens(make([]), empty := scratch_path(spark, "tokens"), P.path("word_bpe_49k.json"))
     assert orc_tokens.read_tokens(spark, empty).count() == 0
+
+
+def test_word_encoder_equals_library_on_random_text():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        encode = orc_tokens.WordEncoder(file.read()).encode
+    rng = np.random.default_rng(11)
+    alphabet = [*"abcdeéÉxyzßẞ日'1²½Ⅷ٣ \n!-_.,", "\x1c", "\x85", " ", "́", "Σ", "ς", "İ", "K", "<|endoftext|>", "</w>", "'s", "'LL", "​", "\U0001d400", "ǅ", "ª", "ー", "ा"]
+    for _ in range(1500):
+        text = "".join(rng.choice(alphabet, rng.integers(1, 40)))
+        assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
