@@ -43,7 +43,7 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(whole.select("row_id", "doc_id", "text"))
     first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row_id").alias("c"))
     kept = groups.groupBy("group").agg(F.min(first).alias("first")).select(F.col("first.c").alias("row_id"))
-    return whole.join(scratch.save(kept, "kept"), "row_id", "left_semi").select(*docs.columns)
+    return whole.join(scratch.save(kept, "kept").hint("merge"), "row_id", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     whole = scratch.save(docs.withColumn("row_id", row_id()), "documents")
     copies = mixing.mix(whole.select("row_id", "doc_id", "source", "text")).where("copies > 0").select("row_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
-    return whole.join(scratch.save(copies, "copies"), "row_id").select(*docs.columns)
+    return whole.join(scratch.save(copies, "copies").hint("merge"), "row_id").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
