@@ -22,18 +22,29 @@ from quillspark.plans.stage import staged
 MOST_HOPS = 20
 
 
-def alias_edges(aliases: DataFrame, records: DataFrame, folds: DataFrame) -> DataFrame:
-    """(node, next, done): one hop for every key that a chain can reach.
+def alias_edges(aliases: DataFrame, records: DataFrame) -> DataFrame:
+    """(node, next, done): one hop for every alias key.
 
-    aliases: key, target, ord; records: key, loose; folds: loose, key (first seen). Columns ``loose`` of
-    aliases and their targets must be given as key_loose, cut_loose with ``cut``, the target without its fragment.
+    aliases: key, key_loose, cut (the target without its fragment), cut_loose, ord; records: key, loose.
     """
-    last = aliases.groupBy("key").agg(F.max_by(F.struct("cut", "cut_loose"), "ord").alias("t")).select("key", F.col("t.cut").alias("cut"), F.col("t.cut_loose").alias("cut_loose"))
-    exact = records.select(F.col("key").alias("cut"), F.lit(True).alias("is_record")).distinct()
-    loose = records.groupBy("loose").agg(F.min("key").alias("by_loose")).withColumnRenamed("loose", "cut_loose")
-    hop = last.join(exact, "cut", "left").join(loose, "cut_loose", "left")
-    to = F.when(F.col("is_record"), F.col("cut")).otherwise(F.coalesce("by_loose", "cut"))
-    return hop.select(F.col("key").alias("node"), to.alias("next"), (F.col("is_record").isNotNull() | F.col("by_loose").isNotNull()).alias("done"))
+    last = aliases.groupBy("key").agg(F.max_by(F.struct("cut", "cut_loose"), "ord").alias("t")).select("key", F.col("t.cut").alias("name"), F.col("t.cut_loose").alias("loose"))
+    hop = land(last, aliases, records)
+    return hop.select(F.col("key").alias("node"), F.col("spot").alias("next"), F.col("is_record").alias("done"))
+
+
+def land(names: DataFrame, aliases: DataFrame, records: DataFrame) -> DataFrame:
+    """names (name, loose, ...) with ``spot``, the key each name means, and ``is_record``.
+
+    In turn: a record of that name, a record of that loose key, an alias of that name, the first alias of that loose key.
+    """
+    exact = records.select(F.col("key").alias("name"), F.lit(True).alias("__r")).distinct()
+    near = records.groupBy("loose").agg(F.min("key").alias("__near"))
+    known = aliases.select(F.col("key").alias("name"), F.lit(True).alias("__a")).distinct()
+    folded = aliases.groupBy(F.col("key_loose").alias("loose")).agg(F.min_by("key", "ord").alias("__fold"))
+    rows = names.join(exact, "name", "left").join(near, "loose", "left").join(known, "name", "left").join(folded, "loose", "left")
+    hit = F.when(F.col("__r"), F.col("name")).otherwise(F.col("__near"))
+    spot = F.coalesce(hit, F.when(F.col("__a"), F.col("name")), F.col("__fold"), F.col("name"))
+    return rows.withColumns({"spot": spot, "is_record": hit.isNotNull()}).drop("__r", "__near", "__a", "__fold")
 
 
 def resolve(edges: DataFrame, starts: DataFrame, most: int = MOST_HOPS) -> DataFrame:

@@ -220,9 +220,9 @@ ledger AS (
 
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
-    rows = part.where("p_partkey % 5 <> 0 OR p_partkey % 97 = 0").selectExpr("CAST(p_partkey AS STRING) AS key", f"CAST({ALIAS} AS STRING) AS cut", "p_partkey AS ord").withColumn("cut_loose", F.col("cut"))
+    rows = part.where("p_partkey % 5 <> 0 OR p_partkey % 97 = 0").selectExpr("CAST(p_partkey AS STRING) AS key", f"CAST({ALIAS} AS STRING) AS cut", "p_partkey AS ord").withColumns({"cut_loose": F.col("cut"), "key_loose": F.col("key")})
     recs = part.where("p_partkey % 5 = 0 AND p_partkey % 97 <> 0").select(F.col("p_partkey").cast("string").alias("key")).withColumn("loose", F.col("key"))
-    edges = aliases.alias_edges(rows, recs, recs)
+    edges = aliases.alias_edges(rows, recs)
     found = aliases.resolve(edges, rows.select(F.col("key").alias("start")))
     return found.select(F.col("start").alias("key"), aliases.ledger_status(F.col("status")).alias("status"), "resolved")
 

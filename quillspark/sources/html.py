@@ -44,22 +44,22 @@ class Node:
                 yield from child.walk()
 
     def find(self, *classes: str) -> Iterator[Node]:
-        """Descendants, in order, that bear one of the classes."""
+        """Descendants, in order, that bear one of the classes or are elements of such a name."""
         wanted = set(classes)
-        return (n for n in self.walk() if n is not self and wanted & n.classes)
+        return (n for n in self.walk() if n is not self and (wanted & n.classes or n.tag in wanted))
 
     def first(self, *classes: str) -> Node | None:
         return next(self.find(*classes), None)
 
     def text(self, skip: frozenset[str] | set[str] = frozenset(), lines: bool = False) -> str:
-        """Visible text without the subtrees of the classes in ``skip``."""
+        """Visible text without the subtrees of the classes, or tags, in ``skip``."""
         parts: list[str] = []
 
         def add(node: Node) -> None:
             for child in node.children:
                 if isinstance(child, str):
                     parts.append(child)
-                elif child.tag not in HIDDEN and not skip & child.classes:
+                elif child.tag not in HIDDEN and child.tag not in skip and not skip & child.classes:
                     edge = "\n" if lines and child.tag in BLOCK else ""
                     parts.append(edge)
                     add(child)

@@ -25,33 +25,36 @@ LINK = "@@@LINK="
 class Layout:
     """Class names of a source's fields; several names are alternatives."""
 
-    entry: tuple[str, ...] = ("entry", "ldoceEntry")
-    headword: tuple[str, ...] = ("HWD", "hwd", "headword")
-    display: tuple[str, ...] = ("HYPHENATION", "display")
-    homograph: tuple[str, ...] = ("HOMNUM",)
-    pos: tuple[str, ...] = ("POS", "pos")
-    grammar: tuple[str, ...] = ("GRAM", "grammar")
-    label: tuple[str, ...] = ("REGISTERLAB", "GEO", "label")
-    pron: tuple[str, ...] = ("PRON", "pron")
-    pron_us: tuple[str, ...] = ("AMEVARPRON",)
-    sense: tuple[str, ...] = ("Sense", "sense")
-    subsense: tuple[str, ...] = ("Subsense", "subsense")
-    number: tuple[str, ...] = ("sensenum", "number")
-    signpost: tuple[str, ...] = ("SIGNPOST",)
-    definition: tuple[str, ...] = ("DEF", "def")
-    chinese: tuple[str, ...] = ("tran", "zh", "cn_txt")
-    lexunit: tuple[str, ...] = ("LEXUNIT", "lexunit")
-    pattern: tuple[str, ...] = ("PROPFORM", "PROPFORMPREP", "pattern")
-    collocation: tuple[str, ...] = ("COLLO", "colloc")
-    phrasal: tuple[str, ...] = ("PhrVbEntry",)
-    phrasal_head: tuple[str, ...] = ("PHRVBHWD",)
-    runon: tuple[str, ...] = ("RunOn",)
-    runon_head: tuple[str, ...] = ("DERIV",)
-    inflection: tuple[str, ...] = ("PLURALFORM", "PTandPPX", "PASTTENSE", "PASTPART", "PRESPART", "COMP", "SUPERL", "inflection")
-    reference: tuple[str, ...] = ("crossRef", "Crossref")
-    dropped: frozenset[str] = field(default_factory=lambda: frozenset({"at-link", "verbtable", "thesbox", "EXAMPLE", "etym", "asset"}))
-
-
+    entry: tuple[str, ...] = ("entry",)
+    headword: tuple[str, ...] = ("hwd",)
+    display: tuple[str, ...] = ("hyphenation",)
+    homograph: tuple[str, ...] = ("homnum",)
+    pos: tuple[str, ...] = ("pos",)
+    grammar: tuple[str, ...] = ("gram",)
+    label: tuple[str, ...] = ("registerlab", "geo", "ac")
+    pron: tuple[str, ...] = ("pron",)
+    pron_us: tuple[str, ...] = ("amevarpron",)
+    sense: tuple[str, ...] = ("sense",)
+    subsense: tuple[str, ...] = ("subsense",)
+    number: tuple[str, ...] = ("sensenum",)
+    signpost: tuple[str, ...] = ("signpost",)
+    definition: tuple[str, ...] = ("def",)
+    chinese: tuple[str, ...] = ("tran",)
+    lexunit: tuple[str, ...] = ("lexunit",)
+    pattern: tuple[str, ...] = ("propform", "propformprep", "pattern")
+    collocation: tuple[str, ...] = ("colloc", "collo", "collocate")
+    phrasal: tuple[str, ...] = ("phrvbentry",)
+    phrasal_head: tuple[str, ...] = ("phrvbhwd",)
+    runon: tuple[str, ...] = ("runon",)
+    runon_head: tuple[str, ...] = ("deriv",)
+    inflection: tuple[str, ...] = ("pluralform", "ptandppx", "pasttense", "pastpart", "prespart", "comp", "superl")
+    reference: tuple[str, ...] = ("crossref",)
+    front_matter: tuple[str, ...] = ("dict-faq",)
+    dropped: frozenset[str] = field(default_factory=lambda: frozenset(DROPPED))
+
+
+#: Classes of boxes that belong to no sense.
+DROPPED = ["at-link", "popup-button", "verbtable", "etymology", "etymbox", "thesbox", "usagebox", "grambox", "f2nbox", "popwf", "wf", "entrymenu", "pope_menu", "errorbox", "imgholder", "popexa", "popthes", "popcollo", "popetym", "popphrase", "example", "exas"]
 LAYOUT = Layout()
 ENTRY = "kind_no int, record_kind string, id string, kind string, headword string, display string, homograph int, parent_id string, pronunciations array<struct<ipa:string,accent:string>>, forms array<string>, labels array<string>, pos_groups string, postings array<struct<norm:string,sense_id:string,match:string,key_raw:string>>, issues array<string>"
 LEXICAL = re.compile("[A-Za-z0-9À-ɏ一-鿿]")
@@ -75,7 +78,7 @@ class Record:
 
     def new_id(self, headword: str, kind: str) -> str:
         base = re.sub("[^a-z0-9]+", "-", loose_key(headword)).strip("-")[:80] or "x"
-        base = base if kind == "word" else f"{base}.{kind}"
+        base = base if kind in ("word", "see_also") else f"{base}.{kind}"
         self.used[base] = self.used.get(base, 0) + 1
         return f"{loose_key(self.key)}/{base}" + (f".{self.used[base]}" if self.used[base] > 1 else "")
 
@@ -83,7 +86,7 @@ class Record:
         """The first pair found outside nested senses; a shell without words gives nulls."""
         inner = {id(x) for s in node.find(*stop) for x in s.walk()}
         own = [n for n in node.walk() if n is not node and id(n) not in inner]
-        pick = lambda classes, skip: next((t for n in own if n.classes & set(classes) and LEXICAL.search(t := n.text(skip))), None)
+        pick = lambda classes, skip: next((t for n in own if (n.classes & set(classes) or n.tag in classes) and LEXICAL.search(t := n.text(skip))), None)
         return {"en": pick(self.at.definition, set(self.at.chinese) | self.at.dropped), "zh": pick(self.at.chinese, set(self.at.dropped))}
 
     def sense(self, node: Node, id_: str, nested: bool = False) -> dict:
@@ -95,7 +98,7 @@ class Record:
 
     def entry(self, node: Node, headword: str, kind: str, parent: str | None = None) -> tuple:
         id_ = self.new_id(headword, kind)
-        inner = {id(x) for s in node.find(*self.at.phrasal, *self.at.runon) for x in s.walk()} if kind == "word" else set()
+        inner = {id(x) for s in node.find(*self.at.phrasal, *self.at.runon) for x in s.walk()} if parent is None else set()
         nodes = [s for s in node.find(*self.at.sense) if id(s) not in inner]
         senses = [self.sense(s, f"{id_}#s{i}") for i, s in enumerate(nodes, 1)]
         if not senses and any(self.definition(node, ()).values()):
@@ -108,7 +111,7 @@ class Record:
         hits = [(loose_key(headword), None, "phrasal_verb" if kind == "phrasal_verb" else "headword", headword)]
         hits += [(loose_key(display), None, "display", display)] if display else []
         hits += [(loose_key(f), None, "inflection", f) for f in forms]
-        hits += [(loose_key(self.key), None, "mdx_key", self.key)] if kind == "word" else []
+        hits += [(loose_key(self.key), None, "mdx_key", self.key)] if parent is None else []
         for s in senses:
             for unit, match in [*((u, "lexical_unit") for u in s["lexunits"]), *((p, "phrase_pattern") for p in s["patterns"])]:
                 hits += [(k, s["id"], match, unit) for k in phrase_keys(unit)]
@@ -125,14 +128,13 @@ class Record:
             if headword is None:
                 self.issues.append("no_headword")
                 continue
-            word = self.entry(top, headword, "word")
+            only_refers = self.root.first(*self.at.definition) is None and self.root.first(*self.at.reference) is not None
+            word = self.entry(top, headword, "see_also" if only_refers else "word")
             out.append(word)
             for classes, heads, kind in ((self.at.phrasal, self.at.phrasal_head, "phrasal_verb"), (self.at.runon, self.at.runon_head, "derived")):
                 for node in top.find(*classes):
                     if name := self.text(node, heads):
                         out.append(self.entry(node, name, kind, word[0]))
-        if not out and self.root.first(*self.at.reference):
-            out.append(self.entry(self.root, self.key, "see_also"))
         return out
 
 
@@ -143,16 +145,22 @@ class _Parse:
             found = record.entries()
         except RecursionError:
             found, record.issues = [], ["too_deep"]
-        kinds = {e[1] for e in found}
-        defined = any(re.search(r'"(en|zh)": "', e[9]) for e in found)
         if not found:
-            yield 0, "excluded_aux" if not record.issues else "error", *[None] * 11, record.issues or ["no_entry"]
+            front = record.root.first(*record.at.front_matter) is not None
+            yield 0, "excluded_aux" if front else "error", *[None] * 11, record.issues or ["front_matter" if front else "no_entry_node"]
             return
-        name = "converted_crossref" if kinds == {"see_also"} else "converted" if defined else "converted_partial"
+        wanted = loose_key(record.key)
+        named = lambda e: loose_key(e[2]) == wanted
+        # a page filed under one of its derived words only points to it
+        locator = any(named(e) for e in found if e[1] == "derived") and not any(named(e) for e in found if e[1] in ("word", "see_also"))
+        defined = any(re.search(r'"(en|zh)": "', e[9]) for e in found if e[1] == "word")
+        crossed = any(e[1] == "see_also" for e in found) and not defined
+        name = "converted_derived_locator" if locator else "converted_crossref" if crossed else "converted_partial" if record.issues else "converted"
         for n, e in enumerate(found):
-            if name == "converted_partial" and n == 0:
-                record.issues.append("no_definition")
-            yield n, name, *e, record.issues
+            hits = e[10]
+            if locator:
+                hits = [*hits, (wanted, None, "mdx_key", record.key), (wanted, None, "derived_locator", record.key)] if e[1] == "derived" and named(e) else []
+            yield n, name, *e[:10], hits, record.issues
 
 
 parse_record = F.udtf(_Parse, returnType=ENTRY)

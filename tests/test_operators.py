@@ -12,9 +12,9 @@ from quillspark.sources import html, records
 
 def resolve(spark, edges, recs):
     rows = [(k, t, i) for i, (k, t) in enumerate(edges)]
-    df = spark.createDataFrame(rows, "key string, cut string, ord long").withColumn("cut_loose", F.lower("cut"))
+    df = spark.createDataFrame(rows, "key string, cut string, ord long").withColumns({"cut_loose": F.lower("cut"), "key_loose": F.lower("key")})
     known = spark.createDataFrame([(r,) for r in recs], "key string").withColumn("loose", F.lower("key"))
-    found = aliases.resolve(aliases.alias_edges(df, known, known), df.select(F.col("key").alias("start")))
+    found = aliases.resolve(aliases.alias_edges(df, known), df.select(F.col("key").alias("start")))
     return {r.start: (r.resolved, r.status) for r in found.collect()}
 
 
@@ -114,7 +114,7 @@ def test_line_classes_follow_the_box_state():
     rows = lines((0, 0, 0, 9, "is left over text of the page before", 1.0), (0, 20, 0, 9, "re•sist /rɪˈzɪst/ v", 1.0), (0, 40, 0, 9, "1 to oppose 抵抗", 1.0), (0, 60, 0, 9, "COLLOCATIONS", 1.0), (0, 80, 0, 9, "resist strongly 强烈抵抗", 1.0), (0, 200, 0, 9, "3 after the box", 1.0), (0, 220, 0, 9, "4 free again", 1.0), (0, 240, 0, 9, "→see other", 1.0))
     got = segment.class_lines(rows.assign(box_y1=[None, None, None, 100.0, 100.0, None, None, None]))
     assert got["kind"].tolist() == ["orphan", "headword", "sense", "feature_title", "collocation_line", "collocation_line", "sense", "xref"]
-    assert got["entry_no"].tolist() == [0, 0, 0, 0, 0, 0, 0, 0]
+    assert got["entry_no"].tolist() == [0, 1, 1, 1, 1, 1, 1, 1]
 
 
 def test_ocr_entries_to_tables(spark):
@@ -140,14 +140,15 @@ def test_html_text_and_links(spark):
     assert [[tuple(x) for x in r[0]] for r in df.select(html.cross_refs(F.col("h"))).collect()] == [[("x", "/x")], []]
 
 
-RECORD = """<div class="ldoceEntry"><span class="HWD">take</span><span class="PRON">teɪk</span><span class="PASTTENSE">took</span><span class="POS">verb</span>
-<span class="Sense"><span class="sensenum">1</span><span class="DEF">to move <span class="tran">拿</span></span><span class="PROPFORM">take something into account</span></span>
-<span class="Sense"><span class="DEF"> - </span></span>
-<span class="PhrVbEntry"><span class="PHRVBHWD">take off</span><span class="Sense"><span class="DEF">to leave</span></span></span></div>"""
+RECORD = """<div class="entry"><span class="hwd">take</span><span class="pron">teɪk</span><span class="pasttense">took</span><span class="pos">verb</span>
+<span class="sense"><span class="sensenum">1</span><span class="def"><en>to move</en> <tran>拿</tran></span><span class="propform">take something into account</span></span>
+<span class="sense"><span class="def"> - </span></span><div class="thesbox"><span class="hwd">other</span></div>
+<span class="phrvbentry"><span class="phrvbhwd">take off</span><span class="sense"><span class="def">to leave</span></span></span>
+<span class="runon"><span class="deriv">taker</span><span class="pos">noun</span></span></div>"""
 
 
 def test_records(spark):
-    rows = [("take", RECORD, 0), ("took", "﻿@@@LINK=take\r\n\x00", 1), ("faq", "<p>help</p>", 2), ("see", "<div><a class='crossRef'>take</a></div>", 3)]
+    rows = [("take", RECORD, 0), ("took", "\ufeff@@@LINK=take\r\n\x00", 1), ("faq", "<p class='dict-faq'>help</p>", 2), ("see", "<div class='entry'><b class='hwd'>see</b><a class='crossref'>take</a></div>", 3), ("taker", RECORD, 4), ("bad", "<p>x", 5)]
     pages, links = records.split_links(spark.createDataFrame(rows, "key string, value string, ord long"))
     assert [tuple(r) for r in links.collect()] == [("took", "take", 1)]
     got = records.parse_records(pages).collect()
@@ -158,4 +159,6 @@ def test_records(spark):
     assert {("take", "headword"), ("took", "inflection"), ("take into account", "phrase_pattern")} <= norms
     tree = json.loads(word.pos_groups)[0]["senses"]
     assert [(s["definition"]["en"], s["definition"]["zh"]) for s in tree] == [("to move", "拿"), (None, None)]
-    assert by["faq", None].record_kind == "excluded_aux" and by["see", "see_also"].record_kind == "converted_crossref"
+    assert by["faq", None].record_kind == "excluded_aux" and by["see", "see_also"].record_kind == "converted_crossref" and by["bad", None].record_kind == "error"
+    assert by["taker", "derived"].record_kind == "converted_derived_locator" and by["taker", "word"].postings == []
+    assert ("taker", "derived_locator") in {(p.norm, p.match) for p in by["taker", "derived"].postings}
