@@ -7,7 +7,7 @@ all learning rows; centroids come from a bounded sample of them (``per_language`
 rows a language, at most ``most_languages`` languages) by spherical k-means. The
 language of the centroid with the largest cosine wins. A text is rejected when
 that cosine is below ``reject`` times the first percentile of the language's own
-sample, or when it has no letter.
+sample (less for texts of few trigrams), or when it has no letter.
 
 Learning takes the text and language of rows whose CRC-32 of doc_id modulo FOLDS is
 not 0; predictions see the text alone.
@@ -32,10 +32,10 @@ from quillspark.llm.common import no_text
 
 #: Fixed values of the learning split.
 FOLDS = 5
-#: Hash width of trigrams in bits; rows a language and languages that the centroids are fitted on.
+#: Hash width of trigrams in bits; rows a language and languages that the centroids are fitted on; share of the bound, and trigrams for all of it.
 WIDTH = 14
 PER_LANGUAGE, MOST_LANGUAGES, CENTROIDS = 400, 100, 4
-REJECT = 0.4
+REJECT, ENOUGH = 0.3, 600
 
 _letters: np.ndarray | None = None
 
@@ -94,7 +94,8 @@ class Model:
         best = int(np.argmax(cosine))
         own = int(self.owner[best])
         score = float(np.clip(cosine[best], 0.0, 1.0))
-        return self.languages[own], score, score < float(self.least[own])
+        # few trigrams cannot come near a centroid: the bound grows with their square root up to ENOUGH
+        return self.languages[own], score, score < float(self.least[own]) * min(1.0, float(n.sum()) / ENOUGH) ** 0.5
 
 
 def fold(id_col: str) -> Column:
