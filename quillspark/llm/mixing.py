@@ -118,8 +118,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rate = F.least(F.lit(cap * SCALE).cast("long"), F.round(F.exp("multiplier") * SCALE).cast("long"))
     rates = aims.join(dual, "sid", "left").select("sid", "source", "source_size", "target", F.coalesce(rate, F.lit(0)).alias("rate_millionths"))
     rates = scratch.save(rates, "rates")
-    ahead = Window.partitionBy("sid").orderBy("size", "lane").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("sid", "size", "lane", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    # places before a cell: those of smaller sizes (one row a size), then those of earlier lanes (LANES rows a size)
+    smaller = Window.partitionBy("sid").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    lanes = Window.partitionBy("sid", "size").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
+    start = histogram.select("sid", "size", F.coalesce(F.sum("n").over(smaller), F.lit(0)).alias("start"))
+    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(lanes), F.lit(0))).join(start, ["sid", "size"])
+    cells = cells.select("sid", "size", "lane", (F.col("start") + F.col("before")).alias("ahead"))
     within = Window.partitionBy("sid", "size", "lane").orderBy(F.col("doc_id").asc_nulls_last(), "row_id")
     placed = rows.withColumn("place", F.row_number().over(within)).join(cells, ["sid", "size", "lane"])
     placed = join_small(placed.withColumn("k", F.col("place") + F.col("ahead")), rates, ["sid"], rows=n_sources)
