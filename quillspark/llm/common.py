@@ -57,15 +57,21 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.paths: dict[int, str] = {}
+        self._keep: list[DataFrame] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch_path(self.spark, name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
-        self._keep = [*getattr(self, "_keep", []), out]
+        self._keep.append(out)
         return out
 
+    def drop_all(self) -> None:
+        """Frees every table of this scratch; only for one whose tables no result reads."""
+        self.drop(*self._keep)
+        self._keep = []
+
     def drop(self, *saved: DataFrame) -> None:
         for df in saved:
             if path := self.paths.pop(id(df), None):

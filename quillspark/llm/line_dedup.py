@@ -174,7 +174,9 @@ def dedup_lines(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", tex
     whole = scratch.save(docs.withColumn("__row", row_id()), "documents")
     names = whole.columns
     keyed = whole.select(F.col("__row").alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    gone = scratch.save(later_lines(keyed, least, scratch), "gone")
+    work = Scratch(docs.sparkSession)
+    gone = scratch.save(later_lines(keyed, least, work), "gone")
+    work.drop_all()
     # by sort-merge at every size: the list of lines to delete grows with the corpus
     joined = whole.join(gone.withColumnRenamed("row_id", "__row").withColumnRenamed("seqs", "__gone").hint("merge"), "__row", "left").select(*names, "__gone")
     types = dict(whole.dtypes)

@@ -249,6 +249,7 @@ def near_groups(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", t
     named = found.join(low, "component").select(F.col("node").alias("mark"), F.col("component").alias("group"), "component_id")
     whole = reps.join(named, "mark", "left").select("mark", F.coalesce("group", "mark").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
     whole = scratch.save(whole, "groups")
+    scratch.drop(reps, edges, found)
     return rows.join(whole, "mark").select("row_id", "doc_id", "mark", "component_id", "group")
 
 
