@@ -58,24 +58,31 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     text = no_text(text_col)
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         text_digest(text).alias("digest"),
         F.char_length(text).cast("long").alias("n_chars"),
-        row_id().alias("row_id"),
+        (F.col(row_col) if row_col else row_id()).alias("row_id"),
     )
 
 
-def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, known, text_sha256.
+def survivors(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns; their digests are in the index afterwards."""
+    whole = Scratch(docs.sparkSession).save(docs.withColumn("__row", row_id()), "documents")
+    kept = dedup(whole, index, id_col, text_col, "__row").where("kept").select(F.col("row_id").alias("__row"))
+    return whole.join(kept.hint("merge"), "__row", "left_semi").select(*docs.columns)
+
+
+def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, known, text_sha256, row_id.
 
     A digest the index knows already keeps the row named there (``known``, none of the batch
     stays); group_size then counts the rows of all batches. New digests are appended to the index.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(digest_rows(docs, id_col, text_col), "digests")
+    rows = scratch.save(digest_rows(docs, id_col, text_col, row_col), "digests")
     best = F.struct(F.col("n_chars"), (-F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))).alias("a"), (-F.col("row_id")).alias("b"))
     groups = (
         rows.groupBy("digest")
@@ -96,6 +103,7 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
         F.coalesce(F.col("row_id") == F.col("batch_row"), F.lit(False)).alias("kept"),
         F.col("batch_row").isNull().alias("known"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "row_id",
     )
 
 
@@ -104,7 +112,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.sources.tables import table
 
     index = DigestIndex(spark, scratch_path(spark, "index"))
-    return dedup(table(spark, sf_dir, "documents"), index)
+    return dedup(table(spark, sf_dir, "documents"), index).drop("row_id")
 
 
 ORACLE = r"""

@@ -37,12 +37,12 @@ SCALE = 1_000_000
 LANES = 64
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.size(words(no_text(text_col))).cast("long").alias("size"),
-        row_id().alias("row_id"),
+        (F.col(row_col) if row_col else row_id()).alias("row_id"),
     )
 
 
@@ -96,16 +96,10 @@ def solve_dual(histogram: DataFrame, aims: DataFrame, scratch: Scratch, toleranc
     return state.select("sid", "multiplier")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """One row per document: row_id, doc_id, source, size, source_size, target, rate_millionths, copies, taken.
-
-    ``docs`` may carry its own ``row_id`` column, which is then kept (see the pipeline).
-    """
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, row_col: str | None = None) -> DataFrame:
+    """One row per document: row_id (``row_col`` of a written table, else numbers of this scan), doc_id, source, size, source_size, target, rate_millionths, copies, taken."""
     scratch = Scratch(docs.sparkSession)
-    rows = sizes(docs, id_col, text_col, source_col)
-    if "row_id" in docs.columns:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(no_text(text_col))).cast("long").alias("size"), "row_id")
-    rows = scratch.save(rows, "sizes")
+    rows = scratch.save(sizes(docs, id_col, text_col, source_col, row_col), "sizes")
     aims = scratch.save(targets(rows, weights, cap), "targets")
     n_sources = aims.count()
     key = F.struct(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"))

@@ -154,10 +154,11 @@ def judge(rows: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
     rows = scratch.save(rows.select("*", *rates()), "measures")
     cells = scratch.save(sketch(rows.where("NOT base_failed")), "sketch")
     sides = [f"{name}_{side}" for name in MEASURES for side in ("low", "high")]
-    fine, coarse, flat = fences(cells, ["lang", "source"]), fences(cells, ["lang"]), fences(cells.withColumn("one", F.lit(1)), ["one"])
-    # every level is a table of groups, the finest has at most the sources times the languages
-    pick = fine.alias("f").join(coarse.alias("c"), F.col("f.lang").eqNullSafe(F.col("c.lang")), "left").crossJoin(flat.alias("a"))
-    level = lambda s: F.when(F.col("f.size") >= least, F.col(f"f.{s}")).when(F.col("c.size") >= least, F.col(f"c.{s}")).otherwise(F.col(f"a.{s}"))
+    fine, coarse = fences(cells, ["lang", "source"]), fences(cells, ["lang"])
+    flat = fences(cells.withColumn("one", F.lit(1)), ["one"]).first()  # one row: the sketch of all documents
+    # the finest level has a row for each pair of language and source
+    pick = fine.alias("f").join(coarse.alias("c"), F.col("f.lang").eqNullSafe(F.col("c.lang")), "left")
+    level = lambda s: F.when(F.col("f.size") >= least, F.col(f"f.{s}")).when(F.col("c.size") >= least, F.col(f"c.{s}")).otherwise(F.lit(flat[s] if flat else None).cast("long"))
     key = lambda lang, source: F.struct(lang.isNull().alias("a"), F.coalesce(lang, F.lit("")).alias("b"), source.isNull().alias("c"), F.coalesce(source, F.lit("")).alias("d")).alias("key")
     limits = scratch.save(pick.select(key(F.col("f.lang"), F.col("f.source")), *[level(s).alias(s) for s in sides]), "fences")
     joined = join_small(rows.withColumn("key", key(F.col("lang"), F.col("source"))), limits, ["key"], "left")

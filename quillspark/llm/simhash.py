@@ -77,9 +77,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks.view(np.int64))], ["row_id", "doc_id", "mark"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row_id (the table's own, if it has one), doc_id, mark: the fingerprint as a signed long."""
-    number = F.col("row_id") if "row_id" in docs.columns else row_id()
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """row_id (``row_col`` of a written table, else numbers of this scan), doc_id, mark: the fingerprint as a signed long."""
+    number = F.col(row_col) if row_col else row_id()
     rows = docs.select(number.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), no_text(text_col).alias("text"))
     return rows.mapInArrow(_fingerprints, "row_id long, doc_id long, mark long")
 
@@ -237,10 +237,10 @@ def links(marks: DataFrame, budget: int = BUDGET, unit: int = UNIT) -> DataFrame
     return dealt.mapInArrow(lambda batches: _joined(batches, budget), "a long, b long")
 
 
-def near_groups(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """row_id, doc_id, mark, component_id (least doc_id reachable), group (a mark that names the group)."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(fingerprints(docs, id_col, text_col), "marks")
+    rows = scratch.save(fingerprints(docs, id_col, text_col, row_col), "marks")
     reps = scratch.save(rows.groupBy("mark").agg(F.min("doc_id").alias("least")), "reps")
     edges = scratch.save(links(reps.select("mark"), budget), "links")
     found = scratch.save(components(edges), "components")

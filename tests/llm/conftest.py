@@ -16,7 +16,7 @@ def make(spark):
             full.append((doc_id, text, lang, source, len(text or "")))
         df = spark.createDataFrame(full, SCHEMA)
         if extra:
-            for name in ("size", "digest", "key", "mark", "words", "label", "score", "copies", "node", "part", "line"):
+            for name in ("size", "digest", "key", "mark", "words", "label", "score", "copies", "node", "part", "line", "row_id", "component", "held_out", "features", "at", "n"):
                 df = df.selectExpr("*", f"'x' AS `{name}`")
         return df
 

@@ -54,6 +54,12 @@ def test_exact_dedup_ties_nulls_and_empty(spark, make):
     assert exact_dedup.dedup(docs.limit(0), exact_dedup.DigestIndex(spark, scratch_path(spark, "index"), buckets=2)).count() == 0
 
 
+def test_survivors_keep_their_columns(spark, make):
+    docs = make(["a b", "ab ", "c", None, ""])
+    kept = exact_dedup.survivors(docs, exact_dedup.DigestIndex(spark, scratch_path(spark, "index"), buckets=2))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+
+
 def plain_targets(size_of, weights=(1, 2, 3), cap=3):
     names = sorted((s for s in size_of if s is not None), key=lambda s: s.encode()) + [None] * (None in size_of)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
