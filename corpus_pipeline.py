@@ -39,19 +39,19 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the least doc_id (null last), then the first row."""
     scratch = Scratch(spark)
-    whole = scratch.save(docs.withColumn("row_id", row_id()), "documents")
-    groups = simhash.near_groups(whole.select("row_id", "doc_id", "text"))
+    whole = scratch.save(docs.withColumn("__row", row_id()), "documents")
+    groups = simhash.near_groups(whole, row_col="__row")
     first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row_id").alias("c"))
-    kept = groups.groupBy("group").agg(F.min(first).alias("first")).select(F.col("first.c").alias("row_id"))
-    return whole.join(scratch.save(kept, "kept").hint("merge"), "row_id", "left_semi").select(*docs.columns)
+    kept = groups.groupBy("group").agg(F.min(first).alias("first")).select(F.col("first.c").alias("__row"))
+    return whole.join(scratch.save(kept, "kept").hint("merge"), "__row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     scratch = Scratch(spark)
-    whole = scratch.save(docs.withColumn("row_id", row_id()), "documents")
-    copies = mixing.mix(whole.select("row_id", "doc_id", "source", "text")).where("copies > 0").select("row_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
-    return whole.join(scratch.save(copies, "copies").hint("merge"), "row_id").select(*docs.columns)
+    whole = scratch.save(docs.withColumn("__row", row_id()), "documents")
+    copies = mixing.mix(whole, row_col="__row").where("copies > 0").select(F.col("row_id").alias("__row"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
+    return whole.join(scratch.save(copies, "copies").hint("merge"), "__row").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
