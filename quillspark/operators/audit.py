@@ -63,3 +63,21 @@ def stratified_sample(rows: DataFrame, stratum: str, key: Column, seed: str, mos
     rows = rows.withColumn("__h", F.sha2(F.concat(F.lit(seed), key.cast("string")), 256))
     place = F.row_number().over(Window.partitionBy(stratum).orderBy("__h"))
     return rows.withColumn("place", place.cast("long")).where(F.col("place") <= most).drop("__h")
+
+
+def typed_sample(rows: DataFrame, types: list[str], key: str, seed: str, each: int = 2, fill: int = 20) -> DataFrame:
+    """A review sample of rows (key, types: array<string>): ``each`` rows a type in turn, none twice, then others up to ``fill``.
+
+    The order is that of SHA-256(seed, type, key), so a sample can be drawn again.
+    """
+    order = lambda salt: F.sha2(F.concat_ws("\u0001", F.lit(seed), F.lit(salt), F.col(key)), 256)
+    picked = None
+    for name in types:
+        some = rows.where(F.array_contains("types", name))
+        if picked is not None:
+            some = some.join(picked.select(key), key, "left_anti")
+        some = some.orderBy(order(name)).limit(each).select(key, F.lit(name).alias("sample_type"))  # the sample's own bound
+        picked = some if picked is None else picked.unionByName(some)
+    rest = rows.join(picked.select(key), key, "left_anti").orderBy(order("")).limit(fill).select(key, F.lit("other").alias("sample_type"))
+    place = F.row_number().over(Window.orderBy(F.col("sample_type") == "other", order("")))  # fewer than fill + each * types rows
+    return picked.unionByName(rest).withColumn("place", place).where(F.col("place") <= F.greatest(F.lit(fill), F.lit(0))).drop("place")

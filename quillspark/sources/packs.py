@@ -156,3 +156,26 @@ def write_pack(entries: DataFrame, lookup: DataFrame, manifest: dict, path: str)
         for name, (body, _) in bodies.items():
             archive.writestr(name, body)
     return manifest
+
+
+def write_jsonl(rows: DataFrame, order: str, path: str) -> None:
+    """Rows as sorted JSON lines; part files follow one another in the order."""
+    json_lines(rows, order).write.mode("overwrite").text(path)
+
+
+class PackCache:
+    """Lines of packs, kept as long as the file stays the same (path and time of change)."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.kept: dict[str, tuple[int, DataFrame]] = {}
+
+    def lines(self, path: str) -> DataFrame:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        changed = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getModificationTime()
+        if path in self.kept and self.kept[path][0] == changed:
+            return self.kept[path][1]
+        if path in self.kept:
+            self.kept[path][1].unpersist()
+        self.kept[path] = changed, read_zip(self.spark, path).cache()
+        return self.kept[path][1]

@@ -116,3 +116,21 @@ def test_folder_pack_and_damaged_line(spark, tmp_path):
     broken = lines.withColumn("line", F.when(F.col("member") == "lookup.jsonl", "{oops").otherwise(F.col("line")))
     with pytest.raises(Exception, match="lookup.jsonl line 1"):
         packs.parsed(broken, "lookup.jsonl", LOOKUP).collect()
+
+
+def test_cache_follows_the_file(spark, tmp_path):
+    import os
+
+    path = tmp_path / "a.zip"
+    pack(spark, path)
+    cache = packs.PackCache(spark)
+    first = cache.lines(f"file://{path}")
+    assert cache.lines(f"file://{path}") is first and first.count() == 5
+    os.utime(path, (1, 1))
+    assert cache.lines(f"file://{path}") is not first
+
+
+def test_sorted_lines_keep_nulls_and_scripts(spark, tmp_path):
+    df = spark.createDataFrame([("b", None), ("a", "中")], "id string, x string")
+    packs.write_jsonl(df, "id", f"file://{tmp_path}/out")
+    assert [r[0] for r in spark.read.text(f"file://{tmp_path}/out").collect()] == ['{"id":"a","x":"中"}', '{"id":"b","x":null}']

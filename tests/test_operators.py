@@ -162,3 +162,18 @@ def test_records(spark):
     assert by["faq", None].record_kind == "excluded_aux" and by["see", "see_also"].record_kind == "converted_crossref" and by["bad", None].record_kind == "error"
     assert by["taker", "derived"].record_kind == "converted_derived_locator" and by["taker", "word"].postings == []
     assert ("taker", "derived_locator") in {(p.norm, p.match) for p in by["taker", "derived"].postings}
+
+
+def test_typed_sample(spark):
+    rows = spark.createDataFrame([(f"k{i:02}", ["a"] if i < 3 else ["a", "b"] if i < 6 else []) for i in range(30)], "key string, types array<string>")
+    got = audit.typed_sample(rows, ["a", "b"], "key", "s").collect()
+    assert len(got) == 20 == len({r.key for r in got})
+    by = {t: [r.key for r in got if r.sample_type == t] for t in ("a", "b", "other")}
+    assert len(by["a"]) == len(by["b"]) == 2 and all("k03" <= k <= "k05" for k in by["b"])
+    assert sorted(map(str, got)) == sorted(map(str, audit.typed_sample(rows.repartition(7), ["a", "b"], "key", "s").collect()))
+
+
+def test_store_round_trip(spark, tmp_path):
+    lookup = spark.createDataFrame([("resist", "e1", "headword")], "qkey string, entry_id string, kind string")
+    ocr_entries.write_store({"lookup": lookup}, f"file://{tmp_path}/store")
+    assert spark.read.parquet(f"file://{tmp_path}/store/lookup").where("qkey = 'resist'").count() == 1
