@@ -24,19 +24,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import no_text
+from quillspark.llm.common import claim, no_text
 
 #: Fixed value: Unicode's White_Space characters, which the pattern's \s means.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Bounds of what a worker keeps: chunks, length of a kept chunk, transducer states.
-CACHE_CHUNKS, CACHE_LENGTH, MOST_STATES = 300_000, 48, 300_000
+CACHE_CHUNKS, CACHE_LENGTH, MOST_STATES = 120_000, 48, 220_000
 
 ROOT, NEVER = 0, 1 << 40
 Hypothesis = tuple[int, int, tuple[int, ...]]
@@ -52,32 +53,45 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self.child: dict[int, int] = {}
-        self.token_at: list[int] = [-1]
-        self.inner: list[bool] = [False]
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        child: dict[int, int] = {}
+        self.token_at, self.inner = array("i", [-1]), bytearray(1)
         for token, rank in ranks.items():
+            self.tokens[rank] = token
             node = ROOT
             for byte in token:
                 key = node << 8 | byte
-                if key not in self.child:
-                    self.child[key] = len(self.token_at)
+                below = child.get(key)
+                if below is None:
+                    below = child[key] = len(self.token_at)
                     self.token_at.append(-1)
-                    self.inner.append(False)
-                    self.inner[node] = True
-                node = self.child[key]
+                    self.inner.append(0)
+                    self.inner[node] = 1
+                node = below
             self.token_at[node] = rank
+        self.child = child
         self.fits: dict[int, bool] = {}
         self.made: dict[int, tuple[int, int] | None] = {}
         self.spines: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self.reset()
 
     def reset(self) -> None:
-        start: tuple[Hypothesis, ...] = ((ROOT, -1, ()),)
+        """Forgets all states. A state is kept packed: node, last token + 1, number of pending tokens, these, for each hypothesis."""
+        start = array("I", [ROOT, 0, 0]).tobytes()
         self.states = {start: 0}
-        self.hypotheses = [start]
-        self.rest: list[tuple[int, ...]] = [()]
-        self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.packed = [start]
+        self.outputs: list[bytes] = [b""]  # in decimal, a blank before each id
+        self.output_ids: dict[tuple[int, ...], int] = {(): 0}
+        self.rest = array("I", [0])  # output of each state at the end of the input
+        self.step: dict[int, int] = {}  # state and byte to next state and output
+        self.fits.clear()
+
+    def output_id(self, tokens: tuple[int, ...]) -> int:
+        found = self.output_ids.get(tokens)
+        if found is None:
+            found = self.output_ids[tokens] = len(self.outputs)
+            self.outputs.append(b"".join([b" %d" % t for t in tokens]))
+        return found
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes the token; None for a byte, and for a token no merges lead to."""
@@ -135,14 +149,18 @@ class Transducer:
         self.fits[key] = good
         return good
 
-    def advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Determinises one transition: the next state and the tokens that are now certain."""
+    def advance(self, state: int, byte: int) -> int:
+        """Determinises one transition: the next state, and above it the output of tokens that are now certain."""
+        data, at = array("I", self.packed[state]), 0
         alive: list[Hypothesis] = []
         ended: Hypothesis | None = None
-        for node, last, pending in self.hypotheses[state]:
+        while at < len(data):
+            node, last, n = data[at], data[at + 1] - 1, data[at + 2]
+            at += 3 + n
             below = self.child.get(node << 8 | byte)
             if below is None:
                 continue
+            pending = tuple(data[at - n : at])
             token = self.token_at[below]
             if token >= 0 and ended is None and self.fit(last, token) and (last >= 0 or self.fit(-1, token)):
                 ended = (ROOT, token, (*pending, token))
@@ -155,28 +173,39 @@ class Transducer:
         least = min(len(x[2]) for x in alive)
         while shared < least and len({x[2][shared] for x in alive}) == 1:
             shared += 1
-        out = alive[0][2][:shared]
-        key = tuple(sorted((node, last, pending[shared:]) for node, last, pending in alive))
-        if key not in self.states:
-            self.states[key] = len(self.hypotheses)
-            self.hypotheses.append(key)
-            self.rest.append(ended[2][shared:])
-        self.step[state << 8 | byte] = found = self.states[key], out
+        flat: list[int] = []
+        for node, last, pending in alive:  # in the order of their starts, which is one order a state
+            flat += [node, last + 1, len(pending) - shared, *pending[shared:]]
+        key = array("I", flat).tobytes()
+        following = self.states.get(key)
+        if following is None:
+            following = self.states[key] = len(self.packed)
+            self.packed.append(key)
+            self.rest.append(self.output_id(ended[2][shared:]))
+        found = self.step[state << 8 | byte] = self.output_id(ended[2][:shared]) << 32 | following
         return found
 
-    def encode(self, data: bytes) -> list[int]:
+    def decimal(self, data: bytes) -> bytes:
+        """Ids of a pre-token in decimal, a blank before each."""
         if (whole := self.ranks.get(data)) is not None:
-            return [whole]
-        if len(self.hypotheses) > MOST_STATES:
+            return b" %d" % whole
+        if len(self.packed) > MOST_STATES:
             self.reset()
-            self.fits.clear()
-        state, out, step = 0, [], self.step
+        state, out, step, outputs = 0, [], self.step, self.outputs
         for byte in data:
-            found = step.get(state << 8 | byte) or self.advance(state, byte)
-            state = found[0]
-            if found[1]:
-                out += found[1]
-        return out + [*self.rest[state]]
+            try:
+                found = step[state << 8 | byte]
+            except KeyError:
+                found = self.advance(state, byte)
+            state = found & 0xFFFFFFFF
+            if found >> 32:
+                out.append(outputs[found >> 32])
+        out.append(outputs[self.rest[state]])
+        return b"".join(out)
+
+    def encode(self, data: bytes) -> list[int]:
+        """Ids of a pre-token."""
+        return [*map(int, self.decimal(data).split())]
 
 
 class StreamDecoder:
@@ -215,43 +244,39 @@ def chunks(text: str) -> list[str]:
     return CHUNK.findall(text)
 
 
-class Codec:
-    """Texts to ids and back, with the caches of one worker process."""
+class Codec(dict[str, bytes]):
+    """Texts to ids and back, with the caches of one worker process: chunk to its ids in decimal, joined by blanks."""
 
     def __init__(self, data: bytes, pattern: str):
         import regex
 
         self.transducer = Transducer(load_ranks(data))
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
-        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.marks = {mark: b" %d" % self.transducer.ranks[mark.encode()] for mark in ".,"}
         self.bytes_of = {b"%d" % rank: token for token, rank in self.transducer.ranks.items()}
 
-    def chunk_ids(self, chunk: str) -> list[int]:
-        return [i for match in self.pattern.finditer(chunk) for i in self.transducer.encode(match[0].encode())]
-
-    def look(self, chunk: str) -> bytes:
-        """The chunk's ids in decimal, joined by spaces."""
-        out = self.young.get(chunk) or self.old.get(chunk)
+    def __missing__(self, chunk: str) -> bytes:
+        out = self.old.get(chunk)
         if out is None:
-            if chunk[-1] in ".," and chunk[1:-1].isalpha() and chunk[0] == " ":  # a word and a mark match apart
-                out = self.look(chunk[:-1]) + self.marks[chunk[-1]]
-            elif chunk[1:].isalpha() and chunk[0] == " ":
-                out = b" ".join([b"%d" % i for i in self.transducer.encode(chunk.encode())])
+            plain = chunk[0] == " "
+            if plain and chunk[-1] in ".," and chunk[1:-1].isalpha():
+                return self[chunk[:-1]] + self.marks[chunk[-1]]  # a word and a mark match apart; the word is what is kept
+            if plain and chunk[1:].isalpha():
+                out = self.transducer.decimal(chunk.encode())
             else:
-                out = b" ".join([b"%d" % i for i in self.chunk_ids(chunk)])
+                out = b"".join([self.transducer.decimal(match[0].encode()) for match in self.pattern.finditer(chunk)])
+            out = out[1:]
         if len(chunk) <= CACHE_LENGTH:
-            if len(self.young) >= CACHE_CHUNKS:
-                self.old = dict(self.young)
-                self.young.clear()
-            self.young[chunk] = out
+            self[chunk] = out
         return out
 
     def encode_decimal(self, text: str) -> bytes:
         """Ids of the text in decimal, joined by single spaces."""
-        get, look = self.young.get, self.look
-        return b" ".join([get(c) or look(c) for c in chunks(text)])
+        if len(self) > CACHE_CHUNKS:
+            self.old = dict(self)
+            self.clear()
+        return b" ".join(map(self.__getitem__, chunks(text)))
 
     def decode_stream(self, ids: Iterable[bytes], block: int = 4096) -> Iterator[str]:
         """Text, piece by piece, of ids in decimal."""
@@ -268,6 +293,7 @@ _worker: dict[tuple[int, str], Codec] = {}
 
 
 def _codec(data: bytes, pattern: str) -> Codec:
+    claim("bpe_fst", _worker.clear)
     key = hash(data), pattern
     if key not in _worker:
         _worker[key] = Codec(data, pattern)

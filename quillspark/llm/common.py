@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,19 @@ def _clean() -> None:
             return
 
 
+_claims: dict[str, Callable[[], object]] = {}
+
+
+def claim(owner: str, release: Callable[[], object]) -> None:
+    """In a Python worker: frees the caches of the operators that ran in it before, and names this one's way to free its own.
+
+    Spark reuses workers from stage to stage; only the caches of the running operator should stay.
+    """
+    for name in [n for n in _claims if n != owner]:
+        _claims.pop(name)()
+    _claims[owner] = release
+
+
 def no_text(column: str | Column) -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import no_text
+from quillspark.llm.common import claim, no_text
 
 #: Fixed values of the learning split.
 FOLDS = 5
@@ -104,6 +104,7 @@ def fold(id_col: str) -> Column:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("language_id", lambda: None)
     seen, rows = np.zeros(1 << WIDTH, np.int64), 0
     for batch in batches:
         for text in batch.column(0):
@@ -185,6 +186,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language_id", lambda: None)
         found = sent.value
         for batch in batches:
             out = [found.predict(text.as_py()) for text in batch.column(at)]

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, row_id
+from quillspark.llm.common import Scratch, claim, row_id
 
 #: Words a repeated run needs; rows of lines sent back at once, and documents rebuilt at once.
 LEAST = 10
@@ -57,6 +57,7 @@ def weigh(weights: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
+    claim("line_dedup", lambda: None)
     held: list[list[np.ndarray]] = []
     rows = 0
 

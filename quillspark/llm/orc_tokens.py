@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import no_text, scratch_path
+from quillspark.llm.common import claim, no_text, scratch_path
 
 #: Fixed value: the id appended to each document.
 END_ID = 2
@@ -101,6 +101,7 @@ _worker: dict[int, WordEncoder] = {}
 
 def encoder(spec: str) -> WordEncoder:
     """The encoder of this worker process."""
+    claim("orc_tokens", _worker.clear)
     key = hash(spec)
     if key not in _worker:
         _worker[key] = WordEncoder(spec)

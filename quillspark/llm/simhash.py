@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, join_small, no_text, row_id
+from quillspark.llm.common import Scratch, claim, join_small, no_text, row_id
 from quillspark.llm.components import components
 
 #: Fixed values of the fingerprint.
@@ -72,6 +72,7 @@ def fingerprint(text: str) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    claim("simhash", lambda: None)
     for batch in batches:
         marks = np.fromiter((fingerprint(x.as_py()) for x in batch.column(2)), np.uint64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks.view(np.int64))], ["row_id", "doc_id", "mark"])
