@@ -20,5 +20,6 @@ QUERIES = {
 ORACLES = {
     "op1_quality_rules": quality_rules.ORACLE,
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op6_line_dedup": line_dedup.ORACLE,
     "op7_mix_sources": mixing.ORACLE,
 }

@@ -193,3 +193,34 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+ORACLE = rf"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents
+), ln AS (
+  SELECT doc_id, no, line, row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1 AS seq, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+  FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), c AS (
+  SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY seq) AS upto FROM ln
+), reach AS (
+  SELECT a.doc_id, a.seq AS s, b.seq AS e FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.seq >= a.seq AND b.upto - a.upto + a.w >= {LEAST}
+), win AS (
+  SELECT doc_id, s, min(e) AS e FROM reach GROUP BY doc_id, s UNION SELECT doc_id, max(s), e FROM reach GROUP BY doc_id, e
+), txt AS (
+  SELECT doc_id, list(line ORDER BY seq) AS ls FROM ln GROUP BY doc_id
+), later AS (
+  SELECT doc_id, s, e FROM (
+    SELECT doc_id, s, e, row_number() OVER (PARTITION BY array_to_string(ls[s + 1:e + 1], chr(10)) ORDER BY doc_id, s) AS r FROM win JOIN txt USING (doc_id)
+  ) WHERE r > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS seq FROM later
+), marked AS (
+  SELECT raw.doc_id, raw.no, raw.line, ln.seq IS NOT NULL AS solid, gone.seq IS NOT NULL AS out
+  FROM raw LEFT JOIN ln USING (doc_id, no) LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.seq = ln.seq
+), built AS (
+  SELECT doc_id, count(*) FILTER (solid) AS n_lines, count(*) FILTER (out) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (NOT out), '') AS text FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE b.text END AS text
+FROM documents d LEFT JOIN built b ON d.doc_id = b.doc_id
+"""
