@@ -30,7 +30,7 @@ from quillspark.llm.common import claim, no_text, scratch_path
 #: Fixed value: the id appended to each document.
 END_ID = 2
 #: Words and chunks kept in each of the two generations of a worker's cache, and the longest kept (bytes).
-CACHE_WORDS, CACHE_LENGTH = 450_000, 48
+CACHE_WORDS, CACHE_LENGTH = 350_000, 48
 #: Ids in one Arrow batch sent back to the JVM.
 FLUSH_IDS = 1_000_000
 #: The vocabulary's own split into words, and Unicode's White_Space, which its \\s means.
