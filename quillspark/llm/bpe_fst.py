@@ -36,8 +36,9 @@ from quillspark.llm.common import claim, no_text
 #: Fixed value: Unicode's White_Space characters, which the pattern's \s means.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Bounds of what a worker keeps: chunks, length of a kept chunk, transducer states.
-CACHE_CHUNKS, CACHE_LENGTH, MOST_STATES = 120_000, 48, 220_000
+#: Bounds of what a worker keeps: chunks in each of two generations, transducer states, length of a kept chunk.
+#: A worker then takes up to about 400 MB; jobs with less room pass smaller bounds.
+CACHE_CHUNKS, MOST_STATES, CACHE_LENGTH = 300_000, 300_000, 48
 
 ROOT, NEVER = 0, 1 << 40
 Hypothesis = tuple[int, int, tuple[int, ...]]
@@ -51,8 +52,8 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class Transducer:
     """Bytes of one pre-token in, token ids out."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most_states: int = MOST_STATES):
+        self.ranks, self.most_states = ranks, most_states
         self.tokens = [b""] * (max(ranks.values()) + 1)
         child: dict[int, int] = {}
         self.token_at, self.inner = array("i", [-1]), bytearray(1)
@@ -189,7 +190,7 @@ class Transducer:
         """Ids of a pre-token in decimal, a blank before each."""
         if (whole := self.ranks.get(data)) is not None:
             return b" %d" % whole
-        if len(self.packed) > MOST_STATES:
+        if len(self.packed) > self.most_states:
             self.reset()
         state, out, step, outputs = 0, [], self.step, self.outputs
         for byte in data:
@@ -247,10 +248,11 @@ def chunks(text: str) -> list[str]:
 class Codec(dict[str, bytes]):
     """Texts to ids and back, with the caches of one worker process: chunk to its ids in decimal, joined by blanks."""
 
-    def __init__(self, data: bytes, pattern: str):
+    def __init__(self, data: bytes, pattern: str, most_chunks: int = CACHE_CHUNKS, most_states: int = MOST_STATES):
         import regex
 
-        self.transducer = Transducer(load_ranks(data))
+        self.most_chunks = most_chunks
+        self.transducer = Transducer(load_ranks(data), most_states)
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE}").replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.old: dict[str, bytes] = {}
         self.marks = {mark: b" %d" % self.transducer.ranks[mark.encode()] for mark in ".,"}
@@ -273,7 +275,7 @@ class Codec(dict[str, bytes]):
 
     def encode_decimal(self, text: str) -> bytes:
         """Ids of the text in decimal, joined by single spaces."""
-        if len(self) > CACHE_CHUNKS:
+        if len(self) > self.most_chunks:
             self.old = dict(self)
             self.clear()
         return b" ".join(map(self.__getitem__, chunks(text)))
@@ -289,18 +291,19 @@ class Codec(dict[str, bytes]):
         yield decoder.feed(b"".join(map(self.bytes_of.__getitem__, held))) + decoder.close()
 
 
-_worker: dict[tuple[int, str], Codec] = {}
+_worker: dict[tuple, Codec] = {}
 
 
-def _codec(data: bytes, pattern: str) -> Codec:
+def _codec(data: bytes, *settings) -> Codec:
     claim("bpe_fst", _worker.clear)
-    key = hash(data), pattern
+    key = hash(data), settings
     if key not in _worker:
-        _worker[key] = Codec(data, pattern)
+        _worker.clear()
+        _worker[key] = Codec(data, *settings)
     return _worker[key]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = (), with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple[str, ...] = (), with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", most_chunks: int = CACHE_CHUNKS, most_states: int = MOST_STATES) -> DataFrame:
     """doc_id, the columns ``keep``, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int).
 
     Columns of ``keep`` must not be named like one of the others.
@@ -310,7 +313,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, keep: tuple
     sent = docs.sparkSession.sparkContext.broadcast(data)  # one file of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(sent.value, pattern)
+        codec = _codec(sent.value, pattern, most_chunks, most_states)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
