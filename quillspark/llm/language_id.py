@@ -3,8 +3,10 @@
 A text's letters, lower-cased, with every run of other characters as one
 blank, give hashed character trigrams; counts become ``1 + log`` times inverse
 document frequency, scaled to length one. Document frequencies are counted over
-all learning rows; centroids come from a bounded sample of them (``per_language``
-rows a language, at most ``most_languages`` languages) by spherical k-means. The
+all learning rows; centroids come from a bounded sample of them by spherical
+k-means: ``per_language`` rows and ``k`` centroids a language for up to
+``full_languages`` languages. More languages share as many rows and centroids, at
+least one each, so every language of the learning rows is learned. The
 language of the centroid with the largest cosine wins. A text is rejected when
 that cosine is below ``reject`` times the first percentile of the language's own
 sample (less for texts of few trigrams), or when it has no letter.
@@ -32,10 +34,12 @@ from quillspark.llm.common import claim, no_text
 
 #: Fixed values of the learning split.
 FOLDS = 5
-#: Hash width of trigrams in bits; rows a language and languages that the centroids are fitted on; share of the bound, and trigrams for all of it.
+#: Hash width of trigrams in bits; rows a language that the centroids are fitted on and languages that get as many; share of the bound, and trigrams for all of it.
 WIDTH = 14
-PER_LANGUAGE, MOST_LANGUAGES, CENTROIDS = 400, 100, 4
+PER_LANGUAGE, FULL_LANGUAGES, CENTROIDS = 400, 100, 4
 REJECT, ENOUGH = 0.3, 600
+#: Rows a language that the hash order picks at least: where few are wanted, the first may have no letter.
+LEAST_PICKED = 24
 
 _letters: np.ndarray | None = None
 
@@ -139,19 +143,22 @@ def cluster(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, most_languages: int = MOST_LANGUAGES, k: int = CENTROIDS, reject: float = REJECT) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, full_languages: int = FULL_LANGUAGES, k: int = CENTROIDS, reject: float = REJECT) -> Model:
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), no_text(text_col).alias("text"))
     rows = rows.where(F.col("lang").isNotNull() & (F.crc32(F.col("id").cast("string").cast("binary")) % FOLDS != 0))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
+    order = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
+    sizes = {r["lang"]: (r["n"], r["first"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.min(order).alias("first")).collect()}  # a row a language, as in the model
     languages = sorted(sizes)
+    if len(languages) > full_languages:
+        per_language, k = (max(1, x * full_languages // len(languages)) for x in (per_language, k))
     flat = np.zeros(1 << WIDTH, np.float32)
     none = Model([], np.zeros(0, np.int64), np.zeros((1 << WIDTH, 0), np.float32), flat, np.zeros(0))
     if not languages:
         return none
-    # hash order of ids picks about twice the rows wanted; the bound itself is then kept exactly
-    share = F.element_at(F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(min(1.0, 2 * per_language / sizes[lang])))]), F.col("lang"))
-    order = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003
-    picked = rows.where(F.col("lang").isin(languages) & (order < share)).select("lang", "text")
+    # hash order of ids picks about twice the rows wanted (LEAST_PICKED at least, and the first); the bound itself is then kept exactly
+    picks = {lang: max(min(1.0, max(2 * per_language, LEAST_PICKED) / n), float(np.nextafter(first, 2.0))) for lang, (n, first) in sizes.items()}
+    share = F.element_at(F.create_map(*[x for lang in languages for x in (F.lit(lang), F.lit(picks[lang]))]), F.col("lang"))
+    picked = rows.where(order < share).select("lang", "text")
     sample: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {lang: [] for lang in languages}
     for row in picked.mapInArrow(_sampled, "lang string, at array<int>, n array<int>").toLocalIterator():
         if len(sample[row.lang]) < per_language and row.at:
@@ -181,7 +188,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of docs, and __lang, __score, __rejected."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**WIDTH by at most most_languages * k floats
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**WIDTH by at most full_languages * k floats, or one centroid a language if those are more
     names, types = docs.columns, dict(docs.dtypes)
     at = names.index(text_col)
 

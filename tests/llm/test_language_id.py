@@ -44,3 +44,19 @@ def test_edges(spark, make, model):
     nothing = L.fit(make([(None, "a b", "en", "s"), (1, None, None, None)]))
     assert {r["__lang"] for r in L.predict(make(["abc", None]), nothing).collect()} == {"und"}
     assert L.predict(make([]), L.fit(make([]))).count() == 0
+
+
+def test_learns_more_than_a_hundred_languages(spark, make):
+    rng = np.random.default_rng(3)
+    rows = []
+    for n in range(130):
+        own = rng.choice([*"abcdefghijklmnopqrstuvwxyzéñüß"], 6, replace=False)
+        rows += [(4 * n + i, " ".join("".join(rng.choice(own, 4)) for _ in range(150)), f"l{n:03}", "s") for i in range(4 if n < 110 else 3)]
+    docs = make(rows, extra=False)
+    learned = {lang for doc_id, _, lang, _ in rows if zlib.crc32(str(doc_id).encode()) % 5}
+    assert len(learned) > 100
+    many = L.fit(docs)
+    assert set(many.languages) == learned
+    assert np.mean([many.predict(text)[0] == lang for _, text, lang, _ in rows if lang in learned]) >= 0.95
+    few = L.fit(docs, per_language=10, full_languages=13)  # one row a language
+    assert set(few.languages) == learned and few.centroids.shape[1] == len(learned)
