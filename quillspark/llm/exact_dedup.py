@@ -4,8 +4,8 @@ A text's digest is the SHA-256 of its UTF-8 bytes after deleting the six space
 characters of ``[\\x20\\x09-\\x0D]``. The index is a bucketed Parquet table; a
 batch is grouped by digest (with map-side partial aggregation, so a digest that
 a third of the rows share reaches the shuffle as one row a task), anti-joined
-to the index by sort-merge without shuffling the index, and the new digests are
-appended.
+to the index by sort-merge without shuffling the index, and the batch's counts are
+appended: a row for each of its digests, new or known, which readers add up.
 
 Defined results: null text counts as empty; empty texts equal one another; of
 equal texts the row with most code points stays, then the smallest doc_id
@@ -41,15 +41,20 @@ class DigestIndex:
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
-    def table(self) -> DataFrame:
+    def rows(self) -> DataFrame:
+        """A row for each digest and batch; keep_id and keep_chars are the same in all rows of a digest."""
         return self.spark.table(self.name)
 
+    def table(self) -> DataFrame:
+        """A row a digest; group_size counts the rows of all batches."""
+        return self.rows().groupBy("digest", "keep_id", "keep_chars").agg(F.sum("group_size").alias("group_size"))
+
     def unseen(self, groups: DataFrame) -> DataFrame:
         """Groups whose digest is not in the index: a sort-merge anti-join; only the batch moves."""
-        return groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+        return groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, groups: DataFrame) -> None:
-        """Adds groups with unseen digests. The write is one job, whose files appear when all tasks are done."""
+        """Adds a batch's groups; those of known digests carry the keep_id and keep_chars of the index. The write is one job, whose files appear when all tasks are done."""
         cols = [c.split()[0] for c in INDEX_SCHEMA.split(", ")]
         groups.select(*cols).repartition(self.buckets, "digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
@@ -79,7 +84,7 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
     """One row per document: doc_id, keep_id, group_size, kept, known, text_sha256, row_id.
 
     A digest the index knows already keeps the row named there (``known``, none of the batch
-    stays); group_size then counts the rows of all batches. New digests are appended to the index.
+    stays); group_size then counts the rows of all batches so far. The batch's counts are appended to the index.
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(digest_rows(docs, id_col, text_col, row_col), "digests")
@@ -91,12 +96,12 @@ def dedup(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col:
     )
     groups = scratch.save(groups, "groups")
     fresh = index.unseen(groups)
-    fresh = scratch.save(fresh.select("digest", F.col("batch_id").alias("keep_id"), F.col("batch_chars").alias("keep_chars"), F.col("batch_size").alias("group_size"), "batch_row"), "fresh")
-    old = groups.join(fresh.select("digest"), "digest", "left_anti").join(index.table(), "digest").select("digest", "keep_id", (F.col("group_size") + F.col("batch_size")).alias("group_size"), F.lit(None).cast("long").alias("batch_row"))
-    known = scratch.save(old.unionByName(fresh.drop("keep_chars")), "known")
-    index.append(fresh)
+    fresh = scratch.save(fresh.select("digest", F.col("batch_id").alias("keep_id"), F.col("batch_chars").alias("keep_chars"), "batch_size", F.col("batch_size").alias("group_size"), "batch_row"), "fresh")
+    old = groups.join(fresh.select("digest"), "digest", "left_anti").join(index.rows(), "digest").groupBy("digest", "keep_id", "keep_chars", "batch_size").agg((F.sum("group_size") + F.col("batch_size")).alias("group_size"))
+    known = scratch.save(old.withColumn("batch_row", F.lit(None).cast("long")).unionByName(fresh), "known")
+    index.append(known.select("digest", "keep_id", "keep_chars", F.col("batch_size").alias("group_size")))
     scratch.drop(groups, fresh)
-    return rows.join(known, "digest").select(
+    return rows.join(known.drop("keep_chars", "batch_size"), "digest").select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -47,6 +47,17 @@ def test_digest_index_persists_and_rejects_known(spark, make):
     assert again.table().count() == 3
 
 
+def test_digest_index_counts_all_batches(spark, make):
+    path = scratch_path(spark, "index")
+    sizes = []
+    for texts in (["a b", "ab "], ["ab", "a b", " ab", "new"], ["ab", "new", "new "], [(None, "a\nb", "en", "s")]):
+        index = exact_dedup.DigestIndex(spark, path, buckets=4)
+        got = {r.text_sha256: (r.group_size, r.known, r.keep_id) for r in exact_dedup.dedup(make(texts), index).collect()}
+        sizes.append(got[hashlib.sha256(b"ab").hexdigest()])
+    assert sizes == [(2, False, 0), (5, True, 0), (6, True, 0), (7, True, 0)]
+    assert sorted(r.group_size for r in index.table().collect()) == [3, 7]
+
+
 def test_exact_dedup_ties_nulls_and_empty(spark, make):
     docs = make([(None, "x y", "en", None), (3, "xy ", "en", None), (3, "xy ", "en", None), (2, "xy", "en", None)])
     got = exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark, scratch_path(spark, "index"), buckets=2)).collect()
