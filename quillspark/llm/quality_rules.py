@@ -6,9 +6,11 @@ in a mergeable quantile sketch: a log-linear histogram, exact below 64 and with
 a relative error of at most 1/32 above. Its cells are (language, source,
 measure, bucket, count) rows: merging two sketches is adding counts, the result
 does not depend on the order, and a hot source reaches the shuffle as one row a
-task and bucket. Upper and lower fences are the quartiles plus or minus three
-interquartile ranges, widened to a margin that spares lists, code or verse in
-an otherwise uniform source. Groups of fewer than ``least`` documents use the
+task and bucket. Upper and lower fences are the quartiles plus or minus WIDTH spreads.
+A spread is the group's interquartile range, or the measure's least spread where that is larger: a
+source whose middle half has one value (no symbols, say) would else reject every document that
+has one symbol. Quartile and spread both come from the sketch, so a document far outside its own source is
+rejected though another source may hold it to be normal. Groups of fewer than ``least`` documents use the
 sketch of their language, and languages of fewer the sketch of all documents,
 which are sums of the same cells. Documents are then joined with the fences and
 filtered.
@@ -33,17 +35,19 @@ from quillspark.llm.common import SPACES, Scratch, join_small, no_text, words
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: Measures: name, the least value of the upper fence, whether there is a lower fence, the most it can be.
+#: Measures: name, the least spread (in the measure's unit), whether there is a lower fence.
 MEASURES = {
-    "symbol_rate": (300, None),
-    "echo_rate": (150, None),
-    "dup_line_rate": (400, None),
-    "upper_rate": (500, None),
-    "mark_rate": (400, None),
-    "word_length": (9000, 2000),
+    "symbol_rate": (45, False),
+    "echo_rate": (6, False),
+    "dup_line_rate": (60, False),
+    "upper_rate": (4, False),
+    "mark_rate": (55, False),
+    "word_length": (150, True),
 }
-#: Quartiles of the fences in percent, their width in interquartile ranges, and the least group.
-LOW, HIGH, WIDTH, LEAST = 25, 75, 3, 50
+#: Quartiles of the fences in percent, their width in spreads, and the least group.
+LOW, HIGH, WIDTH, LEAST = 25, 75, 7, 50
+#: Below every value: the lower fence of measures without one.
+NO_FENCE = -1
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -141,27 +145,34 @@ def fences(cells: DataFrame, keys: list[str]) -> DataFrame:
     quart = merged.groupBy(*keys, "measure", "size").agg(*[F.min(F.when(F.col("upto") * 100 >= F.col("size") * p, F.col("b"))).alias(f"q{p}") for p in (LOW, HIGH)])
     for p in (LOW, HIGH):
         quart = quart.withColumn("b", F.col(f"q{p}")).withColumn(f"q{p}", bucket_top(F.col("b")))
-    spread = F.col(f"q{HIGH}") - F.col(f"q{LOW}")
-    least = F.element_at(F.create_map(*[x for k, v in MEASURES.items() for x in (F.lit(k), F.lit(v[0]).cast("long"))]), F.col("measure"))
-    most = F.element_at(F.create_map(*[x for k, v in MEASURES.items() for x in (F.lit(k), F.lit(-1 if v[1] is None else v[1]).cast("long"))]), F.col("measure"))
-    quart = quart.select(*keys, "measure", "size", F.least(most, F.col(f"q{LOW}") - WIDTH * spread).alias("low"), F.greatest(least, F.col(f"q{HIGH}") + WIDTH * spread).alias("high"))
+    of_measure = lambda at: F.element_at(F.create_map(*[x for k, v in MEASURES.items() for x in (F.lit(k), F.lit(v[at]))]), F.col("measure"))
+    spread = F.greatest(of_measure(0).cast("long"), F.col(f"q{HIGH}") - F.col(f"q{LOW}"))
+    low = F.when(of_measure(1), F.col(f"q{LOW}") - WIDTH * spread).otherwise(F.lit(NO_FENCE).cast("long"))
+    quart = quart.select(*keys, "measure", "size", low.alias("low"), (F.col(f"q{HIGH}") + WIDTH * spread).alias("high"))
     sides = [F.max(F.when(F.col("measure") == name, F.col(side))).alias(f"{name}_{side}") for name in MEASURES for side in ("low", "high")]
     return quart.groupBy(*keys).agg(F.max("size").alias("size"), *sides)
 
 
-def judge(rows: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
-    """Rows of measures with kept and failed_rules."""
-    rows = scratch.save(rows.select("*", *rates()), "measures")
-    cells = scratch.save(sketch(rows.where("NOT base_failed")), "sketch")
+def limits_of(cells: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
+    """(key, size, a low and a high fence for each measure): a row for each pair of language and source, from the finest sketch that is large enough."""
     sides = [f"{name}_{side}" for name in MEASURES for side in ("low", "high")]
     fine, coarse = fences(cells, ["lang", "source"]), fences(cells, ["lang"])
     flat = fences(cells.withColumn("one", F.lit(1)), ["one"]).first()  # one row: the sketch of all documents
     # the finest level has a row for each pair of language and source
     pick = fine.alias("f").join(coarse.alias("c"), F.col("f.lang").eqNullSafe(F.col("c.lang")), "left")
     level = lambda s: F.when(F.col("f.size") >= least, F.col(f"f.{s}")).when(F.col("c.size") >= least, F.col(f"c.{s}")).otherwise(F.lit(flat[s] if flat else None).cast("long"))
-    key = lambda lang, source: F.struct(lang.isNull().alias("a"), F.coalesce(lang, F.lit("")).alias("b"), source.isNull().alias("c"), F.coalesce(source, F.lit("")).alias("d")).alias("key")
-    limits = scratch.save(pick.select(key(F.col("f.lang"), F.col("f.source")), *[level(s).alias(s) for s in sides]), "fences")
-    joined = join_small(rows.withColumn("key", key(F.col("lang"), F.col("source"))), limits, ["key"], "left")
+    return scratch.save(pick.select(group_key(F.col("f.lang"), F.col("f.source")), F.col("f.size").alias("size"), *[level(s).alias(s) for s in sides]), "fences")
+
+
+def group_key(lang: Column, source: Column) -> Column:
+    return F.struct(lang.isNull().alias("a"), F.coalesce(lang, F.lit("")).alias("b"), source.isNull().alias("c"), F.coalesce(source, F.lit("")).alias("d")).alias("key")
+
+
+def judge(rows: DataFrame, scratch: Scratch, least: int = LEAST) -> DataFrame:
+    """Rows of measures with kept and failed_rules."""
+    rows = scratch.save(rows.select("*", *rates()), "measures")
+    limits = limits_of(scratch.save(sketch(rows.where("NOT base_failed")), "sketch"), scratch, least).drop("size")
+    joined = join_small(rows.withColumn("key", group_key(F.col("lang"), F.col("source"))), limits, ["key"], "left")
     failed = F.concat_ws(",", *[F.when((F.col(m) < F.col(f"{m}_low")) | (F.col(m) > F.col(f"{m}_high")), F.lit(m)) for m in MEASURES])
     failed = F.when(F.col("base_failed"), F.lit("base")).otherwise(failed)
     return joined.withColumn("failed_rules", failed).withColumn("kept", F.col("failed_rules") == "")
@@ -178,7 +189,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     cells = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM r WHERE NOT base_failed" for m in MEASURES)
     least = "CASE measure " + " ".join(f"WHEN '{m}' THEN {v[0]}" for m, v in MEASURES.items()) + " END"
-    most = "CASE measure " + " ".join(f"WHEN '{m}' THEN {-1 if v[1] is None else v[1]}" for m, v in MEASURES.items()) + " END"
+    fenced = ", ".join(f"'{m}'" for m, v in MEASURES.items() if v[1])
+    spread = f"greatest({least}, qh - ql)"
 
     def level(name: str, keys: str, by: str) -> str:
         return f"""{name}q AS (
@@ -186,7 +198,7 @@ def _oracle() -> str:
   FROM (SELECT *, sum(n) OVER (PARTITION BY {keys}measure ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {keys}measure) AS size
         FROM (SELECT {keys}measure, b, top, sum(n) AS n FROM cells GROUP BY ALL)) GROUP BY {by}
 ), {name} AS (
-  SELECT {keys}measure, size, least({most}, ql - {WIDTH} * (qh - ql)) AS low, greatest({least}, qh + {WIDTH} * (qh - ql)) AS high FROM {name}q
+  SELECT {keys}measure, size, CASE WHEN measure IN ({fenced}) THEN ql - {WIDTH} * {spread} ELSE {NO_FENCE} END AS low, qh + {WIDTH} * {spread} AS high FROM {name}q
 )"""
 
     failed = ", ".join(f"CASE WHEN r.{m} < l.{m}_low OR r.{m} > l.{m}_high THEN '{m}' END" for m in MEASURES)

@@ -34,6 +34,27 @@ def test_rules_keep_clean_and_drop_symbols(spark, sf):
     assert np.mean(clean) >= 0.99 and np.mean(junk) <= 0.1
 
 
+def test_sketches_decide_most_fences(spark):
+    scratch = Scratch(spark)
+    rows = R.measures(table(spark, "/root/testdata/sf0.1", "documents")).select("*", *R.rates())
+    fences = [r for r in R.limits_of(R.sketch(rows.where("NOT base_failed")), scratch).collect() if r["size"] >= R.LEAST]
+    upper = {m: [r[f"{m}_high"] for r in fences] for m in R.MEASURES}
+    least = {m: R.WIDTH * v[0] for m, v in R.MEASURES.items()}
+    moved = {m: sum(x != least[m] for x in xs) for m, xs in upper.items()}  # fences above what the least spread alone gives
+    assert len(fences) >= 50 and 2 * sum(moved.values()) >= len(fences) * len(R.MEASURES)
+    for m in ("echo_rate", "upper_rate", "word_length"):
+        assert moved[m] == len(fences) and len(set(upper[m])) >= 5
+
+
+def test_an_outlier_of_one_source_is_normal_in_another(spark, make):
+    plain = "some plain words stand here and there and make up a line of text that nobody minds at all number"
+    shout = "SOME loud WORDS stand HERE and THERE and MAKE up a LINE of text THAT nobody MINDS at ALL number"
+    rows = [(i, f"{plain} w{i} x{i}", "en", "calm") for i in range(80)] + [(100 + i, f"{shout} w{i} x{i}", "en", "loud") for i in range(80)]
+    rows += [(500, f"{shout} w x", "en", "calm"), (501, f"{shout} w x", "en", "loud")]
+    kept = {r.doc_id: r.kept for r in R.judge(R.measures(make(rows)), Scratch(spark)).collect()}
+    assert not kept[500] and kept[501] and sum(kept.values()) == 161
+
+
 def test_sketch_error_and_merge(spark):
     values = [int(x) for x in np.random.default_rng(2).integers(0, 10**6, 500)] + [0, 1, 63, 64, 65, 127, 128]
     df = spark.createDataFrame([(v,) for v in values], "v long").selectExpr("v", "v AS x")
