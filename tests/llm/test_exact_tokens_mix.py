@@ -1,6 +1,7 @@
 """Exact dedup, mixing, BPE and ORC tokens against plain Python."""
 
 import hashlib
+import math
 import zlib
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ import pytest
 from conftest_llm import EDGES
 
 from quillspark.llm import bpe_fst, exact_dedup, mixing, orc_tokens
-from quillspark.llm.common import scratch_path
+from quillspark.llm.common import Scratch, scratch_path
 from quillspark.sources.tables import table
 
 
@@ -105,6 +106,47 @@ def test_mix_meets_targets(spark, sf, make):
             assert abs(taken[s] - want[s]) <= 1.5 * largest[s]
 
 
+def plain_rates(sizes, target, cap=3):
+    """Rates min(cap, exp(m * size)) that sum to the target, by bisection."""
+    low, high = -50.0, 50.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        if sum(n * min(cap, math.exp(min(20, mid * n))) for n in sizes) < target:
+            low = mid
+        else:
+            high = mid
+    return {n: min(cap, math.exp(min(20, high * n))) for n in sizes if n}
+
+
+def test_mix_tilts_documents_by_size(spark, sf, make):
+    for docs in (table(spark, sf, "documents"), make([(i, "w " * (i * i % 91), "en", f"s{i % 4}" if i % 9 else None) for i in range(500)])):
+        rows = mixing.mix(docs).collect()
+        of = defaultdict(list)
+        for r in rows:
+            of[r.source].append(r)
+        varied = 0
+        for found in of.values():
+            want, got = plain_rates([r.size for r in found], found[0].target), {r.size: r.rate_millionths / 1e6 for r in found if r.size}
+            assert got == pytest.approx(want, abs=2e-6)
+            varied += len(set(got.values())) > 1
+        assert varied >= len(of) / 2  # the rates differ inside a source
+
+
+def test_mix_hot_and_odd_ids(spark, make):
+    rows = [(None, "w " * 5, "en", "a")] * 300 + [(64 * i, "w " * 5, "en", "a") for i in range(300)] + [(7, "w " * 9, "en", "b")] * 40 + [(1, "v " * 30_000, "en", "b")]
+    first, again = ([(r.doc_id, r.source, r.size, r.copies) for r in mixing.mix(make(rows)).collect()] for _ in range(2))
+    assert len(first) == 641 and sorted(map(str, first)) == sorted(map(str, again))
+    lanes = mixing.mix(make(rows)).where("doc_id IS NULL AND copies > 0").count()
+    assert 0 < lanes <= 300
+
+
+def test_mix_reports_a_dual_that_does_not_settle(spark):
+    histogram = spark.createDataFrame([(1, 5, 10), (1, 9, 4)], "sid long, size long, n long")
+    aims = spark.createDataFrame([(1, 70.0, False)], "sid long, target double, capped boolean")
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mixing.solve_dual(histogram, aims, Scratch(spark), most=1)
+
+
 def test_mix_caps_and_edges(spark, make):
     docs = make([(0, "w " * 10, "en", "a"), (1, "w " * 990, "en", "b"), (2, None, "en", "c"), (None, "w", "en", None), (2, "", "en", "b")])
     rows = {(r.doc_id, r.source): r for r in mixing.mix(docs).collect()}
