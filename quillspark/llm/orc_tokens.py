@@ -6,16 +6,19 @@ narrow columns of the written files) give every partition's offset, so a
 document's position in the whole stream needs no global scan. Readers take any
 stripe alone, and prune stripes by the doc_id statistics and Bloom filters.
 
-No merge crosses the words that the vocabulary splits a text into, so the words
+The vocabulary's added tokens are found in the raw text first, as the library does, and become one
+id each. No merge crosses the words that the vocabulary splits the rest into, so the words
 are encoded by the tokenizers library and kept in a bounded cache of the worker.
 
 Defined results: null text is empty and has only the end id; null doc_ids come
-last; rows with one doc_id are ordered by text, repeated rows stay side by side; an empty
+last (they and repeated ids are dealt by the first letters of their texts too, so many of them do not meet in one task); rows with one doc_id are ordered by text, repeated rows stay side by side; an empty
 table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -31,8 +34,10 @@ from quillspark.llm.common import claim, no_text, scratch_path
 END_ID = 2
 #: Words and chunks kept in each of the two generations of a worker's cache, and the longest kept (bytes).
 CACHE_WORDS, CACHE_LENGTH = 350_000, 48
-#: Ids in one Arrow batch sent back to the JVM.
-FLUSH_IDS = 1_000_000
+#: Ids in one Arrow batch sent back to the JVM; letters of a text that help to deal rows of one doc_id.
+FLUSH_IDS, PREFIX = 1_000_000, 24
+#: Bytes of a stripe.
+STRIPE = 64 << 20
 #: The vocabulary's own split into words, and Unicode's White_Space, which its \\s means.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+"
@@ -41,7 +46,7 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^" + WHITE + r"\p{L}\p{N}]+"
 class WordEncoder(dict[bytes, bytes]):
     """Texts to ids by way of a bounded cache from a word's UTF-8 to its ids' bytes.
 
-    The text is normalised and split as the vocabulary file says: NFC, lower case letter by letter,
+    Added tokens are cut out first. What is between them is normalised and split as the vocabulary file says: NFC, lower case letter by letter,
     PIECE. Chunks between blanks are cached like words. What the young generation lacks is sought in the
     old one, else built of its words; a word goes through the model of the tokenizers library.
     """
@@ -55,6 +60,12 @@ class WordEncoder(dict[bytes, bytes]):
         self.split = regex.compile(PIECE).findall
         self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.letters = dict(enumerate(byte_letters()))
+        added = json.loads(spec).get("added_tokens") or []
+        if odd := [t["content"] for t in added if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]]:
+            raise ValueError(f"added tokens with rules of their own are not supported: {odd}")
+        self.added = {t["content"]: self.coded[t["id"]] for t in added}
+        # of tokens that begin at one place the longest counts
+        self.cut = re.compile("(" + "|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")").split if added else lambda text: [text]
         self.old: dict[bytes, bytes] = {}
 
     def word(self, word: str) -> bytes:
@@ -82,6 +93,11 @@ class WordEncoder(dict[bytes, bytes]):
         if len(self) > CACHE_WORDS:
             self.old = dict(self)
             self.clear()
+        parts = self.cut(text)
+        return self.piece(text) if len(parts) == 1 else b"".join([self.added[part] if at % 2 else self.piece(part) for at, part in enumerate(parts)])
+
+    def piece(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # letter by letter: Python alone would give a final sigma its own form
@@ -144,7 +160,7 @@ def _encode(batches: Iterator[pa.RecordBatch], spec: str, end_id: int) -> Iterat
         yield flush()
 
 
-def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", stripe: int = STRIPE) -> None:
     """Encodes every text and writes ORC files at ``path``, in ascending doc_id order."""
     with open(vocabulary, encoding="utf-8") as file:
         spec = file.read()
@@ -155,8 +171,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), no_text(text_col).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    coded = rows.repartitionByRange(*order[:1]).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>")
-    coded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "10000").option("orc.stripe.size", str(64 << 20)).orc(path)
+    coded = rows.repartitionByRange(order[0], F.substring("text", 1, PREFIX)).sortWithinPartitions(*order).mapInArrow(run, "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>")
+    coded.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "10000").option("orc.stripe.size", str(stripe)).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

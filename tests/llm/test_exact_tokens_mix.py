@@ -169,7 +169,7 @@ def reference(codec):
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.transducer.ranks, special_tokens={})
 
 
-ODD = ["", " ", "  a", "a  b\n\n c\t\td ", "\x1c\x1d!\x1c a", "don't we'll I'VE", "日本語 テスト", "\U0001f600\U0001f600 x", "é   x  y", "x" * 5000, "ab" * 999 + " 12345678901234567890 ²½Ⅷ", "<|endoftext|> a", "aaaa   \n", "﻿a​ b", "ñandú Über ßtraße"]
+ODD = ["", " ", "  a", "a  b\n\n c\t\td ", "\x1c\x1d!\x1c a", "don't we'll I'VE", "日本語 テスト", "\U0001f600\U0001f600 x", "é   x  y", "x" * 5000, "ab" * 999 + " 12345678901234567890 ²½Ⅷ", "<|endoftext|> a", "<|endoftext|> hello <|endoftext|>", "x<|startoftext|>y<|endoftext|><|endoftext|", "<|EndOfText|>", "aaaa   \n", "﻿a​ b", "ñandú Über ßtraße"]
 
 
 def test_transducer_equals_library(codec, reference, spark, sf):
@@ -221,7 +221,6 @@ def test_orc_tokens_equal_library(spark, make, sf):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     for docs in (make(EDGES + ODD + [(3, "one", "en", "s"), (None, "last", "en", "s")]), table(spark, sf, "documents")):
         path = scratch_path(spark, "tokens")
         orc_tokens.write_tokens(docs, path, P.path("word_bpe_49k.json"))
@@ -246,15 +245,41 @@ def test_orc_prunes_by_doc_id(spark, make):
     assert orc_tokens.read_tokens(spark, empty).count() == 0
 
 
+def test_orc_files_hold_stripes_row_index_and_bloom_filters(spark, make):
+    """Read back from the files themselves: several stripes, each with run-length encoded ids, a row index and a Bloom filter of doc_id."""
+    path = scratch_path(spark, "tokens")
+    docs = spark.range(60_000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 120), i -> substr(sha2(concat(id, ':', i), 256), 1, 6))) AS text").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "1")
+    try:
+        orc_tokens.write_tokens(docs, path, P.path("word_bpe_49k.json"), stripe=4 << 20)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    jvm, files = spark._jvm, spark.read.orc(path).inputFiles()
+    conf = spark._jsc.hadoopConfiguration()
+    stripes, column = 0, None
+    for name in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        column = reader.getSchema().findSubtype("doc_id").getId()
+        n = reader.getStripes().size()
+        stripes = max(stripes, n)
+        inner = reader.rows()
+        for i in range(n):
+            footer = inner.readStripeFooter(reader.getStripes().get(i))
+            kinds = {(st.getKind().toString(), st.getColumn()) for st in footer.getStreamsList()}
+            assert ("ROW_INDEX", column) in kinds and ("BLOOM_FILTER_UTF8", column) in kinds
+            assert footer.getColumns(column).getKind().toString() == "DIRECT_V2"  # integer run-length encoding, second version
+        inner.close()
+    assert stripes > 1
+
+
 def test_word_encoder_equals_library_on_random_text():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as file:
         encode = orc_tokens.WordEncoder(file.read()).encode
     rng = np.random.default_rng(11)
-    alphabet = [*"abcdeéÉxyzßẞ日'1²½Ⅷ٣ \n!-_.,", "\x1c", "\x85", " ", "́", "Σ", "ς", "İ", "K", "<|endoftext|>", "</w>", "'s", "'LL", "​", "\U0001d400", "ǅ", "ª", "ー", "ा"]
+    alphabet = [*"abcdeéÉxyzßẞ日'1²½Ⅷ٣ \n!-_.,", "\x1c", "\x85", " ", "́", "Σ", "ς", "İ", "K", "<|endoftext|>", "<|startoftext|>", "<|", "</w>", "'s", "'LL", "​", "\U0001d400", "ǅ", "ª", "ー", "ा"]
     for _ in range(1500):
         text = "".join(rng.choice(alphabet, rng.integers(1, 40)))
         assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
