@@ -111,6 +111,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE_RUN), "")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of df has it (column names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def row_id() -> Column:
     """Number of a row in one scan; write it before it is used twice."""
     return F.monotonically_increasing_id()

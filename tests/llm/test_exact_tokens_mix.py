@@ -59,6 +59,41 @@ def test_digest_index_counts_all_batches(spark, make):
     assert sorted(r.group_size for r in index.table().collect()) == [3, 7]
 
 
+def test_a_batch_can_be_run_again(spark, make):
+    path = scratch_path(spark, "index")
+    index = exact_dedup.DigestIndex(spark, path, buckets=4)
+    key = lambda rows: sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.known) for r in rows)
+    exact_dedup.dedup(make(["a b", "c"]), index, batch="one").collect()
+    docs = make([(5, "ab", "en", "s"), (6, "new", "en", "s"), (7, "ne w", "en", "s")])
+    first = key(exact_dedup.dedup(docs, index, batch="two").collect())
+    exact_dedup.dedup(docs, index, batch="two")  # its caller dies before the result is written
+    assert key(exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark, path, buckets=4), batch="two").collect()) == first
+    assert first == [(5, 0, 2, False, True), (6, 7, 2, False, False), (7, 7, 2, True, False)]
+
+
+def test_compaction_keeps_every_digest(spark, make):
+    path = scratch_path(spark, "index")
+    index = exact_dedup.DigestIndex(spark, path, buckets=2)
+    for at in range(3):
+        exact_dedup.dedup(make(["same", f"text {at}"]), index).collect()
+    before = sorted((bytes(r.digest), r.keep_id, r.group_size) for r in index.table().collect())
+    index.compact(per_bucket=1)
+    assert index.buckets == 4
+    for again in (index, exact_dedup.DigestIndex(spark, path)):  # reopened: the generation and its buckets are read from the folder
+        assert again.buckets == 4 and sorted((bytes(r.digest), r.keep_id, r.group_size) for r in again.table().collect()) == before
+        assert len(again.rows().inputFiles()) <= 4
+    got = {r.doc_id: r for r in exact_dedup.dedup(make([(9, "sa me", "en", "s"), (10, "fresh", "en", "s")]), index).collect()}
+    assert got[9].known and got[9].group_size == 4 and got[10].kept
+
+
+def test_exact_query_takes_two_batches(spark, sf):
+    got = exact_dedup.op4_exact_dedup(spark, sf).collect()
+    want = plain_dedup([(r.doc_id, r.text) for r in table(spark, sf, "documents").collect()])
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in got) == want
+    even = {r.text_sha256 for r in got if r.doc_id % 2 == 0}
+    assert all(r.known == (r.doc_id % 2 == 1 and r.text_sha256 in even) for r in got) and any(r.known for r in got)
+
+
 def test_exact_dedup_ties_nulls_and_empty(spark, make):
     docs = make([(None, "x y", "en", None), (3, "xy ", "en", None), (3, "xy ", "en", None), (2, "xy", "en", None)])
     got = exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark, scratch_path(spark, "index"), buckets=2)).collect()
