@@ -44,8 +44,8 @@ BUDGET = 3
 UNIT = 20_000
 #: No further cut once so few bits are free: a unit then has at most 2**21 fingerprints.
 LEAST_FREE = 21
-#: Shingle hashes whose bits are counted at once, node pairs walked at once, rows held at once (or one unit).
-BLOCK, FRONTIER, HELD = 65_536, 250_000, 200_000
+#: Shingle hashes whose bits are counted at once, node pairs walked at once, links held at once, rows held at once (or one unit).
+BLOCK, FRONTIER, LINKS, HELD = 65_536, 50_000, 1_000_000, 200_000
 
 
 def shingle_hashes(text: str) -> np.ndarray:
@@ -85,88 +85,109 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints, "row_id long, doc_id long, mark long")
 
 
+def unite(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Joins the trees of x and y pairwise; label names the root, and least member, of each place."""
+    while True:
+        a, b = label[x], label[y]
+        apart = a != b
+        if not apart.any():
+            return
+        x, y, a, b = x[apart], y[apart], a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = label[label]
+            if np.array_equal(up, label):
+                break
+            label[:] = up
+
+
 def walk(keys: np.ndarray, marks: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside each unit: keys name the unit, marks are its fingerprints with the agreeing bits in front.
+    """A star forest (indexes into the given order) that connects what is within ``budget`` bits inside each unit.
 
-    Node pairs are kept as index ranges over the sorted marks and walked level by level in blocks
-    of bounded size. Returns indexes (into the given order) of linked pairs.
+    keys name the unit, marks are its fingerprints with the agreeing bits in front. Node pairs are kept as index ranges over
+    the sorted marks and walked depth first in blocks of FRONTIER. Links go into a union-find as
+    soon as LINKS of them are there, so memory is bounded by the fingerprints, not by their links. The
+    budget grows from 1 bit on: a pair of nodes whose fingerprints are all in one component already is not followed, which
+    leaves little to do in dense units. A pair so near its leaves that all below are within the budget is linked as a star.
     """
     order = np.lexsort((marks, keys))
     k, m = keys[order], marks[order]
-    edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if len(k) else np.zeros(1, np.int64)
-    lo, hi = edge[:-1], edge[1:]
+    n = len(k)
+    label = np.arange(n, dtype=np.int32)
+    edge = np.flatnonzero(np.r_[True, k[1:] != k[:-1], True]) if n else np.zeros(1, np.int64)
+    lo, hi = edge[:-1].astype(np.int32), edge[1:].astype(np.int32)
     many = hi - lo > 1
     lo, hi = lo[many], hi[many]
-    found_a: list[np.ndarray] = []
-    found_b: list[np.ndarray] = []
-    stack = [(lo, hi, lo, hi, np.zeros(len(lo), np.int8), np.zeros(len(lo), np.int64))]
-    while stack:
-        a0, a1, b0, b1, off, at = stack.pop()
-        if len(a0) > FRONTIER:
-            half = len(a0) // 2
-            stack += [tuple(x[:half] for x in (a0, a1, b0, b1, off, at)), tuple(x[half:] for x in (a0, a1, b0, b1, off, at))]
-            continue
-        # pairs of single fingerprints: what differs below is counted at once
-        single = (a1 - a0 == 1) & (b1 - b0 == 1) & (a0 != b0)
-        if single.any():
-            x, y = a0[single], b0[single]
-            near = np.bitwise_count(m[x] ^ m[y]) <= budget
-            found_a.append(order[x[near]])
-            found_b.append(order[y[near]])
-        rest = ~single & ~((a0 == b0) & (a1 - a0 == 1)) & (at < BITS)
-        a0, a1, b0, b1, off, at = a0[rest], a1[rest], b0[rest], b1[rest], off[rest], at[rest]
-        if not len(a0):
-            continue
-        am, bm = _split(m, a0, a1, at), _split(m, b0, b1, at)
-        same = (a0 == b0) & (a1 == b1)
-        cross = ~same
-        out = [(a0, am, b0, bm, off, at), (am, a1, bm, b1, off, at), (a0, am, bm, b1, off + 1, at)]
-        out.append(tuple(x[cross] for x in (am, a1, b0, bm, off + 1, at)))
-        joined = [np.concatenate(x) for x in zip(*out, strict=True)]
-        live = (joined[1] > joined[0]) & (joined[3] > joined[2]) & (joined[4] <= budget)
-        joined = [x[live] for x in joined]
-        joined[5] = joined[5] + 1
-        if len(joined[0]):
-            stack.append(tuple(joined))
-    if not found_a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
+    for allowed in range(1, budget + 1):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        steady = steadiness(label)
+        n_held = 0
+        stack = [(lo, hi, lo, hi, np.zeros(len(lo), np.int8), np.zeros(len(lo), np.int8))]
+        while stack:
+            block = stack.pop()
+            if len(block[0]) > FRONTIER:
+                half = len(block[0]) // 2
+                stack += [tuple(x[:half] for x in block), tuple(x[half:] for x in block)]
+                continue
+            a0, a1, b0, b1, off, at = block
+            one = (label[a0] == label[b0]) & (steady[a0] == steady[a1 - 1]) & (steady[b0] == steady[b1 - 1])
+            a0, a1, b0, b1, off, at = (x[~one] for x in block)
+            # all below are within the budget: every member to the first of the first node
+            near = off.astype(np.int16) + (BITS - at.astype(np.int16)) <= allowed
+            single = (a1 - a0 == 1) & (b1 - b0 == 1) & (a0 != b0)
+            done = near | single
+            if done.any():
+                x0, x1, y0, y1 = a0[done], a1[done], b0[done], b1[done]
+                plain = single[done] & ~near[done]
+                far = np.zeros(len(x0), bool)
+                far[plain] = np.bitwise_count(m[x0[plain]] ^ m[y0[plain]]) > allowed
+                x0, x1, y0, y1 = x0[~far], x1[~far], y0[~far], y1[~far]
+                for from_, to in ((x0, x1), (y0, y1)):
+                    size = to - from_
+                    held.append((np.repeat(x0, size), (np.repeat(from_ - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())).astype(np.int32)))
+                    n_held += int(size.sum())
+                if n_held > LINKS:
+                    unite(label, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+                    held, n_held, steady = [], 0, steadiness(label)
+            a0, a1, b0, b1, off, at = (x[~done] for x in (a0, a1, b0, b1, off, at))
+            if not len(a0):
+                continue
+            am, bm = _split(m, a0, a1, at), _split(m, b0, b1, at)
+            cross = ~((a0 == b0) & (a1 == b1))
+            out = [(a0, am, b0, bm, off, at), (am, a1, bm, b1, off, at), (a0, am, bm, b1, off + np.int8(1), at)]
+            out.append(tuple(x[cross] for x in (am, a1, b0, bm, off + np.int8(1), at)))
+            joined = [np.concatenate(x) for x in zip(*out, strict=True)]
+            alone = (joined[0] == joined[2]) & (joined[1] - joined[0] <= 1)
+            live = (joined[1] > joined[0]) & (joined[3] > joined[2]) & (joined[4] <= allowed) & ~alone
+            joined = [x[live] for x in joined]
+            joined[5] = joined[5] + np.int8(1)
+            if len(joined[0]):
+                stack.append(tuple(joined))
+        if held:
+            unite(label, np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+    child = np.flatnonzero(label != np.arange(n))
+    return order[child], order[label[child]]
+
+
+def steadiness(label: np.ndarray) -> np.ndarray:
+    """How often the label has changed up to each place: equal at both ends of a range that has one label throughout."""
+    return np.r_[0, np.cumsum(label[1:] != label[:-1])].astype(np.int32) if len(label) else np.zeros(0, np.int32)
 
 
 def _split(m: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> np.ndarray:
     """For each node [lo, hi) of the sorted marks, where its one-child begins: a binary search on the bit at ``depth``."""
-    shift = (BITS - 1 - depth).astype(np.uint64)
+    shift = (BITS - 1 - depth.astype(np.int16)).astype(np.uint64)
     lo, hi = lo.copy(), hi.copy()
     while True:
         open_ = lo < hi
         if not open_.any():
             return lo
-        mid = (lo + hi) // 2
+        mid = lo + (hi - lo) // 2
         one = (m[np.minimum(mid, len(m) - 1)] >> shift) & np.uint64(1) == 1
         hi = np.where(open_ & one, mid, hi)
         lo = np.where(open_ & ~one, mid + 1, lo)
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star forest over the ids with the same components: what one task passes on of its links."""
-    if not len(a):
-        return a, b
-    ids, both = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = both[: len(a)], both[len(a) :]
-    root = np.arange(len(ids))
-    while True:
-        low = np.minimum(root[x], root[y])
-        before = root.copy()
-        np.minimum.at(root, root[x], low)
-        np.minimum.at(root, root[y], low)
-        while not np.array_equal(root, root[root]):
-            root = root[root]
-        if np.array_equal(root, before):
-            break
-    child = np.flatnonzero(root != np.arange(len(ids)))
-    return ids[child], ids[root[child]]
-
-
 def _turned(mark: Column, free: int, by: int) -> Column:
     """The low ``free`` bits of a mark rotated left by ``by``; the bits above them stay."""
     if not by:
@@ -211,8 +232,7 @@ def _joined(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.Recor
     def done(part: list[np.ndarray]) -> pa.RecordBatch:
         key, mark, bits = part
         a, b = walk(key, bits.view(np.uint64), budget)
-        a, b = spanning(mark[a], mark[b])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(mark[a], pa.int64()), pa.array(mark[b], pa.int64())], ["a", "b"])
 
     for batch in batches:
         held.append([batch.column(i).to_numpy() for i in range(3)])

@@ -91,6 +91,40 @@ def test_units_are_bounded(spark):
     assert found.select("component").distinct().count() == 1 and found.count() == 3000
 
 
+def test_walk_equals_all_pairs():
+    rng = np.random.default_rng(9)
+    for dense in (12, 20, 60):
+        keys = rng.integers(0, 3, 400)
+        marks = rng.integers(0, 2**dense, 400, dtype=np.uint64) << np.uint64(2)
+        pairs = {}
+        for key, mark in zip(keys.tolist(), marks.tolist(), strict=True):
+            pairs.setdefault(key, set()).add(mark)
+        flat = [(key, mark) for key, found in pairs.items() for mark in found]
+        a, b = simhash.walk(np.array([x for x, _ in flat]), np.array([x for _, x in flat], np.uint64), 3)
+        root = list(range(len(flat)))
+        for child, top in zip(a.tolist(), b.tolist(), strict=True):
+            root[child] = top
+        for key, found in pairs.items():
+            want = plain_groups(found)
+            seen = {}
+            for i, (x, mark) in enumerate(flat):
+                if x == key:
+                    seen.setdefault(want[mark], set()).add(root[i])
+            assert all(len(x) == 1 for x in seen.values()) and len({next(iter(x)) for x in seen.values()}) == len(seen)
+
+
+def test_a_dense_unit_stays_small():
+    import tracemalloc
+
+    for spread in (1, 3):  # a full cube; every third number, so that few are one bit apart
+        marks = np.arange(0, (1 << 19) * spread, spread, dtype=np.uint64)
+        tracemalloc.start()
+        a, b = simhash.walk(np.zeros(len(marks), np.int64), marks, 3)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1 << 30 and len(a) == len(marks) - 1 and len(set(b.tolist())) == 1
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(1000, i) for i in range(1001, 1300)] + [(5000, 5000)]
     found = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
