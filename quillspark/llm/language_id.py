@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import claim, no_text
+from quillspark.llm.common import claim, free_name, no_text
 
 #: Fixed values of the learning split.
 FOLDS = 5
@@ -187,10 +187,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of docs, and __lang, __score, __rejected."""
+    """All columns of docs, then __lang, __score and __rejected (with more underscores where docs has such a column)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**WIDTH by at most full_languages * k floats, or one centroid a language if those are more
-    names, types = docs.columns, dict(docs.dtypes)
+    names, added = docs.columns, [free_name(docs, name) for name in ("__lang", "__score", "__rejected")]
     at = names.index(text_col)
+    # plain names on the way to Python and back: a column of the caller may have a dot in its name
+    plain = [f"c{i}" for i in range(len(names) + 3)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("language_id", lambda: None)
@@ -198,9 +200,11 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             out = [found.predict(text.as_py()) for text in batch.column(at)]
             cols = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*names, "__lang", "__score", "__rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], plain)
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{c}` {types[c]}" for c in names), "`__lang` string, `__score` double, `__rejected` boolean"]))
+    types = [*(t for _, t in docs.dtypes), "string", "double", "boolean"]
+    schema = ", ".join(f"{c} {t}" for c, t in zip(plain, types, strict=True))
+    return docs.toDF(*plain[:-3]).mapInArrow(run, schema).toDF(*names, *added)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
