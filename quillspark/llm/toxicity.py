@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import no_text
+from quillspark.llm.common import Scratch, no_text
 
 #: Grades above 0, labelled rows fitted on at most, least sample rows that hold a feature, features kept, words cached.
 TOP, SAMPLE, SEEN, FEATURES, CACHE_WORDS = 3, 12_000, 4, 4_000, 300_000
@@ -117,57 +117,71 @@ def fit_ordinal(x: list[np.ndarray], grades: np.ndarray, size: int, top: int, pe
     return params[:size], np.cumsum(np.r_[params[size], np.exp(params[size + 1 :])])
 
 
-def fit_texts(features: list[np.ndarray], toxic: np.ndarray) -> Model:
-    """The model of a sample: hashed features (sorted, distinct) and label of each row."""
-    n, bad = len(features), int(toxic.sum())
+def flat_model(n: int, bad: int) -> Model:
     share = (bad + 1) / (n + 2)
-    flat = float(np.log(share / (1 - share)))
-    if not n or bad in (0, n):
-        return Model({}, np.full(TOP, -flat))
-    every = np.concatenate(features)
-    marks = np.repeat(toxic, [len(f) for f in features])
-    ids, index = np.unique(every, return_inverse=True)
-    seen, hits = np.bincount(index, minlength=len(ids)), np.bincount(index, marks, len(ids))
-    # surplus in toxic rows over the base rate, in standard deviations
-    z = (hits - seen * share) / np.sqrt(seen * share * (1 - share))
-    strong = np.flatnonzero((seen >= SEEN) & (z > SURPLUS) & (hits >= LIFT * share * seen))
-    strong = strong[np.argsort(-z[strong], kind="stable")][:FEATURES]
-    if not len(strong):
-        return Model({}, np.full(TOP, -flat))
-    marker = set(ids[strong[hits[strong] >= 0.9 * seen[strong]]].tolist())
-    dose = np.array([sum(i in marker for i in f.tolist()) for f in features], float)
-    grades = np.zeros(n, np.int64)
+    return Model({}, np.full(TOP, -float(np.log(share / (1 - share)))))
+
+
+def fit_rows(ids: list[int], markers: set[int], x: list[np.ndarray], toxic: np.ndarray) -> Model:
+    """The model of a sample: hashed ids of the features that count, those of them that are markers, and each row's features (as places in ids) and label."""
+    bad = int(toxic.sum())
+    marker = np.array([i in markers for i in ids], bool)
+    dose = np.array([marker[f].sum() for f in x], float)
+    grades = np.zeros(len(x), np.int64)
     cuts = np.quantile(dose[toxic == 1], [j / TOP for j in range(1, TOP)])
     grades[toxic == 1] = 1 + np.searchsorted(cuts, dose[toxic == 1], side="left")
-    place = {int(i): j for j, i in enumerate(ids[strong])}
-    x = [np.array([place[i] for i in f.tolist() if i in place], np.int64) for f in features]
     for j in range(1, TOP + 1):  # equal doses: a grade that none has takes one row, so that all bounds exist
         if not (grades == j).any():
             grades[np.flatnonzero(toxic == 1)[j % bad]] = j
-    w, bounds = fit_ordinal(x, grades, len(strong), top=TOP)
-    return Model({int(ids[s]): float(a) for s, a in zip(strong, w, strict=True) if abs(a) > 1e-3}, bounds)
+    w, bounds = fit_ordinal(x, grades, len(ids), top=TOP)
+    return Model({i: float(a) for i, a in zip(ids, w, strict=True) if abs(a) > 1e-3}, bounds)
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [text_features(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["y", "features"])
+        found = [text_features(t.as_py()) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "y", "features"])
+
+
+def _placed(batches: Iterator[pa.RecordBatch], ids: list[int]) -> Iterator[pa.RecordBatch]:
+    sorted_ids = np.array(sorted(ids), np.int64)
+    place = {int(i): j for j, i in enumerate(ids)}
+    for batch in batches:
+        found = [[place[i] for i in np.intersect1d(np.asarray(f.values), sorted_ids).tolist()] for f in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["id", "y", "features"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+    """Fitted on at most ``sample`` labelled rows, in an order fixed by a hash of their ids.
+
+    All features are counted where the rows are; the driver sees FEATURES of them, and for each row of the
+    sample which of these it has.
+    """
+    scratch = Scratch(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull())
     total = marked.count()
     share = min(1.0, 0.9 * sample / max(total, 1))
-    picked = marked.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).limit(sample)
+    picked = marked.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1).orderBy(F.xxhash64("id"), "id", "y").limit(sample)
     # the sample is bounded by ``sample`` rows of two numbers, so it may be broadcast to the scan of texts
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), no_text(text_col).alias("text")).join(F.broadcast(picked), "id").select("y", "text")
-    features, toxic = [], []
-    for row in rows.mapInArrow(_sampled, "y int, features array<long>").toLocalIterator():
-        features.append(np.asarray(row.features, np.int64))
-        toxic.append(row.y)
-        if len(features) == 2 * sample:  # only where doc_ids repeat
-            break
-    return fit_texts(features, np.asarray(toxic))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), no_text(text_col).alias("text")).join(F.broadcast(picked), "id").select("id", "y", "text")
+    rows = scratch.save(rows.mapInArrow(_sampled, "id long, y int, features array<long>"), "features")
+    if rows.count() > sample:  # only where doc_ids repeat
+        rows = scratch.save(rows.orderBy(F.xxhash64("id"), "id", "y", F.xxhash64("features")).limit(sample), "features")
+    n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not n or bad in (0, n):
+        return flat_model(n, bad)
+    base = (bad + 1) / (n + 2)
+    counts = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("seen"), F.sum("y").alias("hits"))
+    # surplus in toxic rows over the base rate, in standard deviations
+    counts = counts.withColumn("z", (F.col("hits") - F.col("seen") * base) / F.sqrt(F.col("seen") * (base * (1 - base))))
+    strong = counts.where((F.col("seen") >= SEEN) & (F.col("z") > SURPLUS) & (F.col("hits") >= LIFT * base * F.col("seen"))).orderBy(F.desc("z"), "f").limit(FEATURES).collect()
+    if not strong:
+        return flat_model(n, bad)
+    ids = [r.f for r in strong]
+    found = rows.mapInArrow(lambda batches: _placed(batches, ids), "id long, y int, features array<int>").toPandas()
+    lists = sorted((i, y, tuple(f)) for i, y, f in zip(found["id"], found["y"], found["features"], strict=True))
+    x = [np.array(f, np.int64) for _, _, f in lists]
+    return fit_rows(ids, {r.f for r in strong if r.hits >= 0.9 * r.seen}, x, np.array([y for _, y, _ in lists]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -69,6 +69,39 @@ def test_severity_is_the_sum_of_the_probabilities(spark, sf):
         assert 0 <= r.expected_severity <= T.TOP
 
 
+def test_held_out_labels(spark):
+    docs, labels = (table(spark, "/root/testdata/sf0.1", name) for name in ("documents", "labels"))
+    model = T.fit(docs, labels.where("doc_id % 2 = 0"))
+    rows = T.score(docs.where("doc_id % 2 = 1"), model).selectExpr("doc_id", "toxic AS said", "p_toxic AS p").join(labels.selectExpr("doc_id", "toxic AS y"), "doc_id").collect()
+    bad, fine = [r for r in rows if r.y == 1], [r for r in rows if r.y == 0]
+    assert len(bad) > 50 and np.mean([r.said for r in bad]) >= 0.8 and np.mean([r.said for r in fine]) <= 0.03
+    auc = np.mean([[(a.p > b.p) + (a.p == b.p) / 2 for b in fine] for a in bad])
+    assert auc >= 0.9
+
+
+def test_severity_rises_with_the_dose(spark, make):
+    rng = np.random.default_rng(3)
+    clean = ["".join(chr(97 + int(c)) for c in str(1000 + i)) for i in range(300)]
+    slurs = ["zorkling", "grumpfen", "blemmich", "quostrel", "vrankish", "snoddlep"]
+    texts, marks = [], []
+    for i in range(900):
+        words = list(rng.choice(clean, 40))
+        if i % 6 == 0:
+            words[: 1 + i // 6 % 6] = slurs[: 1 + i // 6 % 6]
+        texts.append(" ".join(words))
+        marks.append((i, int(i % 6 == 0)))
+    model = T.fit(make(texts), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    probe = T.score(make([" ".join(clean[:30] + slurs[:n]) for n in range(7)]), model).collect()
+    severity = [r.expected_severity for r in sorted(probe, key=lambda r: r.doc_id)]
+    assert severity == sorted(severity) and severity[0] < 0.5 and severity[6] > severity[1] + 0.5
+
+
+def test_sample_is_the_same_in_every_run(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    models = [T.fit(docs.repartition(n), labels.repartition(n), sample=60) for n in (1, 6)]
+    assert models[0].weights == models[1].weights and np.array_equal(models[0].bounds, models[1].bounds)
+
+
 def test_edges(spark, make):
     docs = make([*EDGES, (None, "no id", "en", "s")])
     for rows in ([], [(1, 1), (3, 0), (None, 1), (4, None), (3, 1)], [(1, 0)]):
