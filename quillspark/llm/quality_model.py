@@ -190,7 +190,9 @@ def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ensemble:
         return Ensemble(0.0)
     share = min(1.0, 0.9 * sample / total)
     marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
-    found = rows.join(marked, "doc_id").select("y", *STATISTICS).limit(sample).toPandas()
+    # in a fixed order, so that the same rows are taken, and summed up alike, in every run
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("y"), *map(F.col, STATISTICS)]
+    found = rows.join(marked, "doc_id").select("doc_id", "y", *STATISTICS).orderBy(*order).limit(sample).toPandas()
     return fit_rules(found[STATISTICS].to_numpy(float), found["y"].to_numpy(float))
 
 

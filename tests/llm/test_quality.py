@@ -92,6 +92,13 @@ def test_held_out_labels(spark):
     assert np.mean([[g > b for b in bad] for g in good]) >= 0.93  # area under the curve; some labels are noise
 
 
+def test_more_labels_than_the_sample_give_one_model(spark):
+    sf = "/root/testdata/sf0.01"
+    stats = M.statistics(table(spark, sf, "documents"))
+    models = [M.fit(stats.repartition(n), table(spark, sf, "labels").repartition(n), sample=120) for n in (1, 7)]
+    assert models[0].rules == models[1].rules and models[0].weights == models[1].weights and models[0].bias == models[1].bias
+
+
 def test_model_edges(spark, make):
     docs = make([*EDGES, (None, "null id", "en", "s")])
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (3, None)], "doc_id long, quality int")
