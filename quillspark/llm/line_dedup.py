@@ -4,9 +4,9 @@ Lines (``\\n``-split, blank ones aside) become ids of 128-bit digests, and only
 lines that occur twice or more stay in play; a line found once ends every run.
 Suffixes of the line-id sequences are sorted by prefix doubling: in round k a
 suffix is known by the rank of its first 2**k lines, and the pair (rank here,
-rank 2**k lines on) gives the next. A group of equal rank is refined in place:
-the new rank is the old one plus the number of members with a smaller second
-rank, so no round sorts globally and unique suffixes leave the sort. Equal ranks
+rank 2**k lines on) gives the next: a new rank is one more than the number of members of all pairs that
+sort before. Pairs are counted first, so a line that a third of all lines repeat is one row a task and pair, and
+their counts are added up over range partitions, not within one old rank; unique suffixes leave the sort. Equal ranks
 are neighbours in the suffix array: they are its intervals of longest common prefix
 at least 2**k, and two overlapping ranks name the interval of any depth between.
 
@@ -15,14 +15,14 @@ its minimal ones (from a line onward, or back from a line, until the words
 suffice), so intervals need naming only at the minimal depths, which never
 exceed ``least`` lines; the union of the later members of all these intervals is
 exactly the later copies of all maximal repeated runs. Every step is an
-aggregation or a join on narrow rows; a frequent line is pre-aggregated and its
-join partitions are split by adaptive execution.
+aggregation or a join on narrow rows; a frequent line or run is pre-aggregated, its aggregate is written, and the
+partitions of the join with it, two plain exchanges, are split by adaptive execution.
 
 "Earlier" is the order (doc_id, row, line); null doc_ids are last. Runs may overlap and may lie in
 one document. Defined results: null text stays null; blank lines stay where they
 are; a document whose lines are all later copies keeps its row with what is left (empty
 text, or its blank lines); repeated rows keep the first; an empty table gives an empty
-result; other columns are kept as they are.
+result; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Scratch, claim, row_id
+from quillspark.llm.common import Scratch, claim, free_name, row_id
 
 #: Words a repeated run needs; rows of lines sent back at once, and documents rebuilt at once.
 LEAST = 10
@@ -103,9 +103,8 @@ def rank_levels(lines: DataFrame, depth: int, scratch: Scratch) -> list[DataFram
         here = levels[-1]
         there = here.select("row_id", (F.col("seq") - step).alias("seq"), F.col("rank").alias("second"))
         pairs = scratch.save(here.join(there, ["row_id", "seq"]), "pairs")
-        groups = pairs.groupBy("rank", "second").agg(F.count("*").alias("n"))
-        before = Window.partitionBy("rank").orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
-        groups = groups.withColumn("new", F.col("rank") + F.coalesce(F.sum("n").over(before), F.lit(0))).where("n > 1").select("rank", "second", "new")
+        groups = pairs.groupBy("rank", "second").agg(F.count("*").alias("n")).where("n > 1")
+        groups = prefix_sums(groups, ["rank", "second"], "n", "before", scratch).select("rank", "second", (F.col("before") + 1).alias("new"))
         levels.append(scratch.save(pairs.join(groups, ["rank", "second"]).select("row_id", "seq", F.col("new").alias("rank")), "rank"))
         scratch.drop(pairs)
         step *= 2
@@ -139,6 +138,7 @@ def later_lines(docs: DataFrame, least: int, scratch: Scratch) -> DataFrame:
     named = scratch.save(named.join(owners, "row_id"), "owned")
     place = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row_id").alias("c"), F.col("seq").alias("d"))
     firsts = named.groupBy("m", "head", "tail").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("m", "head", "tail", F.col("first.c").alias("r"), F.col("first.d").alias("s"))
+    firsts = scratch.save(firsts, "firsts")  # written, so that a frequent run's partition of the join below can be split
     later = named.join(firsts, ["m", "head", "tail"]).where("row_id <> r OR seq <> s")
     gone = later.select("row_id", F.explode(F.sequence("seq", F.col("seq") + F.col("m") - 1)).alias("seq"))
     return gone.groupBy("row_id").agg(F.collect_set("seq").alias("seqs"))  # lines of one document
@@ -165,26 +165,27 @@ def _rebuilt(batches: Iterator[pa.RecordBatch], text_at: int, width: int) -> Ite
         cols = [batch.column(i) for i in range(width)]
         cols[text_at] = pa.array(texts, pa.string())
         cols += [pa.array(counts, pa.int64()), pa.array(gone, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:width], "__lines", "__removed"])
+        yield pa.RecordBatch.from_arrays(cols, [*batch.schema.names[:width], "n_lines", "n_removed"])
 
 
 def dedup_lines(docs: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, with the text cleaned, and n_lines (non-blank) and n_removed (these two replace any columns of such names)."""
+    """All columns of docs, with the text cleaned, and n_lines (non-blank) and n_removed; a column of such a name in docs stays, and an underscore is put in front of the new one."""
     scratch = Scratch(docs.sparkSession)
-    docs = docs.drop("n_lines", "n_removed")
-    whole = scratch.save(docs.withColumn("__row", row_id()), "documents")
+    row, gone_col = free_name(docs, "__row"), free_name(docs, "__gone")
+    counts = [free_name(docs, "n_lines"), free_name(docs, "n_removed")]
+    whole = scratch.save(docs.withColumn(row, row_id()), "documents")
     names = whole.columns
-    keyed = whole.select(F.col("__row").alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = whole.select(F.col(row).alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     work = Scratch(docs.sparkSession)
     gone = scratch.save(later_lines(keyed, least, work), "gone")
     work.drop_all()
     # by sort-merge at every size: the list of lines to delete grows with the corpus
-    joined = whole.join(gone.withColumnRenamed("row_id", "__row").withColumnRenamed("seqs", "__gone").hint("merge"), "__row", "left").select(*names, "__gone")
-    types = dict(whole.dtypes)
+    joined = whole.join(gone.select(F.col("row_id").alias(row), F.col("seqs").alias(gone_col)).hint("merge"), row, "left").select(*(f"`{c}`" for c in names), gone_col)
     at, width = names.index(text_col), len(names)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in names), "`__lines` long", "`__removed` long"])
-    out = joined.mapInArrow(lambda b: _rebuilt(b, at, width), schema)
-    return out.drop("__row").withColumnsRenamed({"__lines": "n_lines", "__removed": "n_removed"})
+    # plain names on the way to Python and back: a column of the caller may have a dot in its name
+    plain = [f"c{i}" for i in range(width + 1)]
+    schema = ", ".join([*(f"{c} {t}" for c, (_, t) in zip(plain, whole.dtypes, strict=False)), "n_lines long", "n_removed long"])
+    return joined.toDF(*plain).mapInArrow(lambda b: _rebuilt(b, at, width), schema).toDF(*names, *counts).drop(row)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,21 @@ def test_passages_of_fifty_words(spark, make):
     assert all(r.text == f"clean start {r.doc_id}\nclean end {r.doc_id}" for r in got[1:30])
 
 
+def test_clashing_columns_survive(make):
+    run = "one two three four five six seven eight nine ten eleven"
+    docs = make([run, f"x\n{run}"]).selectExpr("*", "5L AS n_lines", "'r' AS __row", "'g' AS __gone", "'p' AS `a.b`")
+    got = sorted(line_dedup.dedup_lines(docs).collect(), key=lambda r: r.doc_id)
+    assert [(r.n_lines, r["__row"], r["__gone"], r["a.b"], r._n_lines, r.n_removed) for r in got] == [(5, "r", "g", "p", 1, 0), (5, "r", "g", "p", 2, 1)]
+    assert got[1].text == "x"
+
+
+def test_one_very_common_line(make):
+    common = "a line of at least ten words that stands in very many documents"
+    docs = make([f"{common}\nown line {i} of ten words that no other document of these has at all" for i in range(400)])
+    got = line_dedup.dedup_lines(docs).where("n_removed = 0").collect()
+    assert [r.doc_id for r in got] == [0]
+
+
 def test_edges(spark, make):
     check(make([*EDGES, (None, "one two three four five six seven eight nine ten", "en", "s"), (3, "one two three four five six seven eight nine ten", "en", "s")]))
     assert line_dedup.dedup_lines(make([])).count() == 0
