@@ -14,11 +14,16 @@ from quillspark.llm import bpe_fst, language_id
 from quillspark.llm.common import Scratch
 
 
+CLASHING = ("row_id", "n_lines", "__row", "__rejected")
+
+
 @pytest.fixture(scope="module")
 def steps(spark):
     """The result of every stage over a small table with planted copies."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(70)
-    docs = docs.unionByName(docs.limit(6).withColumn("doc_id", docs.doc_id + 1000)).withColumn("row_id", docs.lang)
+    docs = docs.unionByName(docs.limit(6).withColumn("doc_id", docs.doc_id + 1000)).withColumns({"row_id": docs.lang, "n_lines": docs.lang, "__row": docs.lang, "__rejected": docs.lang})
+    long = spark.createDataFrame([(2000, "a very long text of common words " * 20_000, "en", "s0", 680_000)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.unionByName(long.selectExpr("*", "lang AS row_id", "lang AS n_lines", "lang AS __row", "lang AS __rejected"))
     out, scratch = [docs], Scratch(spark)
     for name, stage in C.STAGES:
         out.append(scratch.save(stage(spark, out[-1], ""), name))
@@ -29,8 +34,8 @@ def test_language_stage_keeps_clean_documents(steps, spark):
     before, after = steps[0], steps[1]
     assert {r.doc_id for r in after} <= {r.doc_id for r in before}
     assert len(after) >= len(before) - 2
-    for step in steps[1:5]:  # an extra column with a clashing name comes through as it was
-        assert all(set(r.asDict()) == {*C.COLUMNS, "row_id"} and r.row_id == r.lang for r in step)
+    for step in steps[1:5]:  # an extra columns with clashing names come through as they were
+        assert all(set(r.asDict()) == {*C.COLUMNS, *CLASHING} and all(r[c] == r.lang for c in CLASHING) for r in step)
 
 
 def test_line_stage(steps):
