@@ -18,40 +18,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe_fst, language_id, line_dedup, mixing, simhash
-from quillspark.llm.common import Scratch, row_id
+from quillspark.llm.common import Scratch, free_name, row_id
 from quillspark.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def columns(docs: DataFrame) -> list[str]:
+    """The columns of docs, quoted: a name may hold a dot."""
+    return [f"`{c}`" for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of a known language; those that the classifier rejects go."""
     model = language_id.fit(docs)
-    return language_id.predict(docs, model).where("NOT `__rejected`").select(*docs.columns)
+    known = language_id.predict(docs, model)
+    return known.where(~F.col(known.columns[-1])).select(*columns(docs))  # the last column says whether a text is rejected
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs are cut out of the texts; n_chars follows."""
-    clean = line_dedup.dedup_lines(docs).select(*docs.columns)
+    clean = line_dedup.dedup_lines(docs).select(*columns(docs))
     return clean.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the least doc_id (null last), then the first row."""
     scratch = Scratch(spark)
-    whole = scratch.save(docs.withColumn("__row", row_id()), "documents")
-    groups = simhash.near_groups(whole, row_col="__row")
+    row = free_name(docs, "__row")
+    whole = scratch.save(docs.withColumn(row, row_id()), "documents")
+    groups = simhash.near_groups(whole, row_col=row)
     first = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row_id").alias("c"))
-    kept = groups.groupBy("group").agg(F.min(first).alias("first")).select(F.col("first.c").alias("__row"))
-    return whole.join(scratch.save(kept, "kept").hint("merge"), "__row", "left_semi").select(*docs.columns)
+    kept = groups.groupBy("group").agg(F.min(first).alias("first")).select(F.col("first.c").alias(row))
+    return whole.join(scratch.save(kept, "kept").hint("merge"), row, "left_semi").select(*columns(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
     scratch = Scratch(spark)
-    whole = scratch.save(docs.withColumn("__row", row_id()), "documents")
-    copies = mixing.mix(whole, row_col="__row").where("copies > 0").select(F.col("row_id").alias("__row"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
-    return whole.join(scratch.save(copies, "copies").hint("merge"), "__row").select(*docs.columns)
+    row, copy = free_name(docs, "__row"), free_name(docs, "__copy")
+    whole = scratch.save(docs.withColumn(row, row_id()), "documents")
+    copies = mixing.mix(whole, row_col=row).where("copies > 0").select(F.col("row_id").alias(row), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(copy))
+    return whole.join(scratch.save(copies, "copies").hint("merge"), row).select(*columns(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
