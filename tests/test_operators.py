@@ -95,11 +95,12 @@ def test_overlay_null_wins_and_upsert(spark):
 
 
 def lines(*rows):
-    return pd.DataFrame([(1, c, y, x, y + 10, x + w, t, s) for c, y, x, w, t, s in rows], columns=["page", "column", "y0", "x0", "y1", "x1", "text", "score"])
+    return pd.DataFrame([(1, c, float(y), float(x), y + 10.0, x + float(w), t, s) for c, y, x, w, t, s in rows], columns=["page", "column", "y0", "x0", "y1", "x1", "text", "score"])
 
 
-def test_baseline_merge_folds_left_to_right():
-    got = segment.merge_baselines(lines((0, 0, 50, 20, "def", 0.9), (0, 2, 0, 45, "abc ", 0.8), (0, 4, 90, 10, "2", 0.7), (0, 4.5, 104, 10, "x", 1.0), (0, 30, 0, 9, "next", 1.0), (1, 0, 0, 9, "other column", 1.0)))
+def test_baseline_merge_folds_left_to_right(spark):
+    merged = segment.merged_lines(spark.createDataFrame(lines((0, 0, 50, 20, "def", 0.9), (0, 2, 0, 45, "abc ", 0.8), (0, 4, 90, 10, "2", 0.7), (0, 4.5, 104, 10, "x", 1.0), (0, 30, 0, 9, "next", 1.0), (1, 0, 0, 9, "other column", 1.0))))
+    got = merged.orderBy("column", "y0").toPandas()
     assert got["text"].tolist() == ["abcdef 2 x", "next", "other column"]
     assert got["score"].tolist() == [0.7, 1.0, 1.0] and got["x1"].tolist()[0] == 114
 
@@ -110,9 +111,10 @@ def test_boxes_first_wins(spark):
     assert {r.text: r.box.box_no if r.box else None for r in segment.in_boxes(df, boxes).collect()} == {"in": 0, "out": None}
 
 
-def test_line_classes_follow_the_box_state():
+def test_line_classes_follow_the_box_state(spark):
     rows = lines((0, 0, 0, 9, "is left over text of the page before", 1.0), (0, 20, 0, 9, "re•sist /rɪˈzɪst/ v", 1.0), (0, 40, 0, 9, "1 to oppose 抵抗", 1.0), (0, 60, 0, 9, "COLLOCATIONS", 1.0), (0, 80, 0, 9, "resist strongly 强烈抵抗", 1.0), (0, 200, 0, 9, "3 after the box", 1.0), (0, 220, 0, 9, "4 free again", 1.0), (0, 240, 0, 9, "→see other", 1.0))
-    got = segment.class_lines(rows.assign(box_y1=[None, None, None, 100.0, 100.0, None, None, None]))
+    rows = spark.createDataFrame([(1, *r, y) for r, y in zip(rows.itertuples(index=False), [None, None, None, 100.0, 100.0, None, None, None], strict=True)], f"window int, {segment.LINE}, box_y1 double")
+    got = segment.class_lines(rows).orderBy("y0").toPandas()
     assert got["kind"].tolist() == ["orphan", "headword", "sense", "feature_title", "collocation_line", "collocation_line", "sense", "xref"]
     assert got["entry_no"].tolist() == [0, 1, 1, 1, 1, 1, 1, 1]
 
