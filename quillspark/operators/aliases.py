@@ -1,7 +1,8 @@
 """Resolving redirect chains to records.
 
 Chains are followed by pointer doubling instead of one join a hop: after round r
-a key points 2**r hops ahead, so twenty hops cost five joins.
+a key knows the next 2**r keys of its chain, so twenty hops cost five joins. What lies beyond
+the last hop that counts is cut off, so a row stays small however long its chain is.
 
 Rules: a target that is a record ends the chain, exactly or by its loose key
 (of records with one loose key the lexicographically least); the part after
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.plans.stage import staged
+from quillspark.plans.stage import release, staged
 
 #: Fixed value: the most hops of a chain.
 MOST_HOPS = 20
@@ -48,27 +49,33 @@ def land(names: DataFrame, aliases: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def resolve(edges: DataFrame, starts: DataFrame, most: int = MOST_HOPS) -> DataFrame:
-    """(start, resolved, status) for the distinct starts: ok, cycle, too_long or missing.
+    """(start, resolved, status, reason) for the distinct starts: ok, missing, cycle or too_long.
 
-    edges: node, next, done (next is a record). A start that is no node is missing. Only chains that are
-    still open take part in a round; rounds stop when none is, or when the jumps exceed the number
-    of nodes, which only a chain on a cycle survives. A key that leads into a cycle is cyclic however far it is.
+    edges: node, next, done (next is a record). A chain may take ``most`` hops to a record and must reach a dead end, or
+    a key for the second time, in fewer; else it is too long. A start that is no node is missing. The reason names
+    the keys of a cycle up to the repeated one, and of a chain that is too long the first ``most`` ones.
     """
-    jump = staged(edges.select("node", F.col("next").alias("to"), F.lit(1).cast("long").alias("hops"), F.col("done").alias("ended")))
-    nodes = jump.select("node")
-    # a chain whose next key is no node has ended nowhere
-    known = nodes.select(F.col("node").alias("to"), F.lit(True).alias("goes_on"))
-    jump = staged(jump.join(known, "to", "left").select("node", "to", "hops", "ended", (~F.col("ended") & F.col("goes_on").isNotNull()).alias("open")))
-    total, reach = jump.count(), 1
-    while reach <= total and not (going := jump.where("open")).isEmpty():
-        ahead = jump.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("ended").alias("ended2"), F.col("open").alias("open2"))
-        moved = going.join(ahead, "to").select("node", F.col("to2").alias("to"), (F.col("hops") + F.col("hops2")).alias("hops"), F.col("ended2").alias("ended"), F.col("open2").alias("open"))
-        jump = staged(jump.where("NOT open").unionByName(moved))
+    keys = edges.select(F.col("node").alias("next"), F.lit(True).alias("goes_on")).distinct()
+    first = edges.join(keys, "next", "left").select("node", F.array("next").alias("path"), "done", (~F.col("done") & F.col("goes_on").isNotNull()).alias("open"))
+    jump, reach = staged(first), 1
+    while reach <= most and not (going := jump.where("open")).isEmpty():
+        ahead = jump.select(F.col("node").alias("to"), F.col("path").alias("path2"), F.col("done").alias("done2"), F.col("open").alias("open2"))
+        path = F.slice(F.concat("path", "path2"), 1, most + 1)
+        moved = going.withColumn("to", F.element_at("path", -1)).join(ahead, "to").select("node", path.alias("path"), F.col("done2").alias("done"), F.col("open2").alias("open"))
+        jump, before = staged(jump.where("NOT open").unionByName(moved)), jump
+        release(before)
         reach *= 2
-    status = F.when(F.col("open"), "cycle").when(~F.col("ended"), "missing").when(F.col("hops") > most, "too_long").otherwise("ok")
-    found = jump.select(F.col("node").alias("start"), F.col("to").alias("end"), status.alias("status"))
+    hops, last = F.size("path"), F.element_at("path", -1)
+    seen = F.slice(F.concat(F.array("node"), F.col("path")), 1, most)
+    # where a key comes for the second time among the first ``most``: the chain up to there
+    again = F.filter(F.sequence(F.lit(2), F.size(seen)), lambda i: F.array_position(seen, F.element_at(seen, i)) < i)
+    loop = F.when(F.size(seen) > 1, F.get(again, F.lit(0)))
+    over = F.col("open") | (hops > most) | (~F.col("done") & (hops >= most))
+    status = F.when(over & loop.isNotNull(), "cycle").when(over, "too_long").when(F.col("done"), "ok").otherwise("missing")
+    reason = F.when(over & loop.isNotNull(), F.concat(F.lit("cycle:"), F.array_join(F.slice(seen, F.lit(1), loop), "->"))).when(over, F.concat(F.lit("too_long:"), F.array_join(seen, "->")))
+    found = jump.select(F.col("node").alias("start"), last.alias("end"), status.alias("status"), reason.alias("reason"))
     rows = starts.select("start").distinct().join(found, "start", "left").withColumn("status", F.coalesce("status", F.lit("missing")))
-    return rows.select("start", F.when(F.col("status").isin("ok", "missing"), F.coalesce("end", "start")).alias("resolved"), "status")
+    return rows.select("start", F.when(F.col("status").isin("ok", "missing"), F.coalesce("end", "start")).alias("resolved"), "status", "reason")
 
 
 def ledger_status(status):

@@ -202,26 +202,29 @@ def q13_count_reconcile(spark, sf):
 
 
 # -- redirects ---------------------------------------------------------------------------------------
-ALIAS = "CASE WHEN p_partkey % 97 = 0 THEN p_partkey WHEN p_partkey % 89 = 0 THEN p_partkey + 1000000000 ELSE p_partkey - 1 END"
+#: Every fifth part is a record, every fiftieth in the lower half of each 200: chains of up to 49 hops, some into a cycle or nowhere.
+RECORD = "p_partkey % 97 <> 0 AND p_partkey % (CASE WHEN p_partkey % 200 < 100 THEN 50 ELSE 5 END) = 0"
+ALIAS = "CASE WHEN p_partkey % 97 = 0 THEN p_partkey + p_partkey % 2 * 12 WHEN p_partkey % 89 = 0 THEN p_partkey + 1000000000 ELSE p_partkey - 1 END"
 SQL_ALIAS = f"""
-alias AS (SELECT p_partkey AS k, {ALIAS} AS t FROM part WHERE p_partkey % 5 <> 0 OR p_partkey % 97 = 0),
-rec AS (SELECT p_partkey AS k FROM part WHERE p_partkey % 5 = 0 AND p_partkey % 97 <> 0),
+alias AS (SELECT p_partkey AS k, {ALIAS} AS t FROM part WHERE NOT ({RECORD})),
+rec AS (SELECT p_partkey AS k FROM part WHERE {RECORD}),
 walk AS (
   SELECT k AS start, t AS cur, 1 AS hop, [k] AS seen FROM alias
   UNION ALL
   SELECT w.start, a.t, w.hop + 1, list_append(w.seen, a.k) FROM walk w JOIN alias a ON a.k = w.cur WHERE w.hop < 20 AND NOT list_contains(w.seen, w.cur)
-), final AS (SELECT start, arg_max(cur, hop) AS cur, arg_max(seen, hop) AS seen FROM walk GROUP BY start),
+), final AS (SELECT start, arg_max(cur, hop) AS cur, arg_max(seen, hop) AS seen, max(hop) AS hop FROM walk GROUP BY start),
+ended AS (SELECT *, cur IN (SELECT k FROM rec) AS mapped, hop < 20 AND list_contains(seen, cur) AS looped, hop < 20 AND NOT list_contains(seen, cur) AS lost FROM final),
 ledger AS (
-  SELECT CAST(start AS VARCHAR) AS key, CASE WHEN cur IN (SELECT k FROM rec) THEN 'alias_mapped' WHEN list_contains(seen, cur) THEN 'alias_cycle' ELSE 'alias_unresolved' END AS status,
-         CASE WHEN list_contains(seen, cur) THEN NULL ELSE CAST(cur AS VARCHAR) END AS resolved
-  FROM final
+  SELECT CAST(start AS VARCHAR) AS key, CASE WHEN mapped THEN 'alias_mapped' WHEN looped THEN 'alias_cycle' ELSE 'alias_unresolved' END AS status,
+         CASE WHEN mapped OR lost THEN CAST(cur AS VARCHAR) END AS resolved
+  FROM ended
 )"""
 
 
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     part = table(spark, sf, "part")
-    rows = part.where("p_partkey % 5 <> 0 OR p_partkey % 97 = 0").selectExpr("CAST(p_partkey AS STRING) AS key", f"CAST({ALIAS} AS STRING) AS cut", "p_partkey AS ord").withColumns({"cut_loose": F.col("cut"), "key_loose": F.col("key")})
-    recs = part.where("p_partkey % 5 = 0 AND p_partkey % 97 <> 0").select(F.col("p_partkey").cast("string").alias("key")).withColumn("loose", F.col("key"))
+    rows = part.where(f"NOT ({RECORD})").selectExpr("CAST(p_partkey AS STRING) AS key", f"CAST({ALIAS} AS STRING) AS cut", "p_partkey AS ord").withColumns({"cut_loose": F.col("cut"), "key_loose": F.col("key")})
+    recs = part.where(RECORD).select(F.col("p_partkey").cast("string").alias("key")).withColumn("loose", F.col("key"))
     edges = aliases.alias_edges(rows, recs)
     found = aliases.resolve(edges, rows.select(F.col("key").alias("start")))
     return found.select(F.col("start").alias("key"), aliases.ledger_status(F.col("status")).alias("status"), "resolved")

@@ -6,6 +6,7 @@ function of its text, mapped in Arrow batches.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -38,10 +39,12 @@ class Node:
         return set((self.attrs.get("class") or "").split())
 
     def walk(self) -> Iterator[Node]:
-        yield self
-        for child in self.children:
-            if isinstance(child, Node):
-                yield from child.walk()
+        """The node and its descendants, in order; a stack, not recursion, for pages are nested as deep as they like."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            yield node
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
     def find(self, *classes: str) -> Iterator[Node]:
         """Descendants, in order, that bear one of the classes or are elements of such a name."""
@@ -54,18 +57,16 @@ class Node:
     def text(self, skip: frozenset[str] | set[str] = frozenset(), lines: bool = False) -> str:
         """Visible text without the subtrees of the classes, or tags, in ``skip``."""
         parts: list[str] = []
-
-        def add(node: Node) -> None:
-            for child in node.children:
-                if isinstance(child, str):
-                    parts.append(child)
-                elif child.tag not in HIDDEN and child.tag not in skip and not skip & child.classes:
-                    edge = "\n" if lines and child.tag in BLOCK else ""
-                    parts.append(edge)
-                    add(child)
-                    parts.append(edge)
-
-        add(self)
+        stack: list[Node | str] = list(reversed(self.children))
+        while stack:
+            child = stack.pop()
+            if isinstance(child, str):
+                parts.append(child)
+            elif child.tag not in HIDDEN and child.tag not in skip and not skip & child.classes:
+                edge = ["\n"] if lines and child.tag in BLOCK else []
+                parts += edge
+                stack += edge
+                stack.extend(reversed(child.children))
         whole = "".join(parts)
         if lines:
             return "\n".join(x for x in (" ".join(line.split()) for line in whole.split("\n")) if x)
@@ -77,23 +78,30 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.names: Counter[str] = Counter()  # of the open elements, so that an end tag without a start costs nothing
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while tag in CLOSES.get(self.open[-1].tag, ()):
-            self.open.pop()
+            self.shut()
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.names[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.open[-1].children.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag: str) -> None:
-        if any(n.tag == tag for n in self.open[1:]):
-            while self.open.pop().tag != tag:
+        if self.names[tag]:
+            while self.shut() != tag:
                 pass
 
+    def shut(self) -> str:
+        tag = self.open.pop().tag
+        self.names[tag] -= 1
+        return tag
+
     def handle_data(self, data: str) -> None:
         self.open[-1].children.append(data)
 

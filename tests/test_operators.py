@@ -26,6 +26,17 @@ def test_alias_cycles_chains_and_missing(spark):
     assert got["c25"] == ("Rec", "ok") and got["c6"] == ("Rec", "ok") and got["c5"][1] == "too_long"
 
 
+def test_alias_hops_that_count(spark):
+    """Twenty hops to a record, nineteen to a dead end or to the key that comes again."""
+    lead = lambda name, n, end: [(f"{name}{i}", f"{name}{i + 1}") for i in range(n - 1)] + [(f"{name}{n - 1}", end)]
+    got = resolve(spark, [*lead("r", 21, "rec"), *lead("d", 30, "gone"), *lead("c", 29, "p"), ("p", "q"), ("q", "p")], ["rec"])
+    assert got["r1"] == ("rec", "ok") and got["r0"][1] == "too_long"
+    assert got["d0"] == (None, "too_long") and got["d10"] == (None, "too_long") and got["d11"] == ("gone", "missing")
+    assert got["c0"] == (None, "too_long") and got["c11"] == (None, "too_long") and got["c12"] == (None, "cycle")
+    edges = spark.createDataFrame([("a", "b", False), ("b", "c", False), ("c", "b", False)], "node string, next string, done boolean")
+    assert {r.start: r.reason for r in aliases.resolve(edges, edges.select(F.col("node").alias("start"))).collect()}["a"] == "cycle:a->b->c->b"
+
+
 def test_last_alias_of_a_key_counts(spark):
     assert resolve(spark, [("k", "gone"), ("k", "rec")], ["rec"])["k"] == ("rec", "ok")
 
@@ -142,6 +153,15 @@ def test_html_text_and_links(spark):
     assert [[tuple(x) for x in r[0]] for r in df.select(html.cross_refs(F.col("h"))).collect()] == [[("x", "/x")], []]
 
 
+def test_deep_pages(spark):
+    deep = "<div>" * 100_000 + "<a href='/z'>end</a>"
+    df = spark.createDataFrame([(deep,)], "h string")
+    row = df.select(html.clean_text(F.col("h")).alias("t"), html.cross_refs(F.col("h")).alias("r")).first()
+    assert row.t == "end" and [tuple(x) for x in row.r] == [("end", "/z")]
+    pages, _ = records.split_links(spark.createDataFrame([("k", deep, 0)], "key string, value string, ord long"))
+    assert [r.record_kind for r in records.parse_records(pages).collect()] == ["error"]
+
+
 RECORD = """<div class="entry"><span class="hwd">take</span><span class="pron">teɪk</span><span class="pasttense">took</span><span class="pos">verb</span>
 <span class="sense"><span class="sensenum">1</span><span class="def"><en>to move</en> <tran>拿</tran></span><span class="propform">take something into account</span></span>
 <span class="sense"><span class="def"> - </span></span><div class="thesbox"><span class="hwd">other</span></div>
