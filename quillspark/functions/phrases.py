@@ -28,9 +28,17 @@ def squeeze(text: str) -> str:
     return _blank.sub(" ", text).strip()
 
 
+def exact_key(text: str) -> str:
+    return squeeze(unicodedata.normalize("NFKC", text).translate(str.maketrans("‘’‐‑↔", "''-- "))).casefold()
+
+
 def loose_key(text: str) -> str:
-    plain = unicodedata.normalize("NFKC", text).translate(str.maketrans("‘’‐‑↔", "''-- "))
-    return squeeze(squeeze(plain).casefold().strip(".,;:!?·•"))
+    return squeeze(exact_key(text).strip(".,;:!?·•"))
+
+
+def key_pair(text: str) -> list[str]:
+    """The distinct non-empty keys of a text, the exact one first."""
+    return [k for k in dict.fromkeys((exact_key(text), loose_key(text))) if k]
 
 
 def alternatives(text: str) -> set[str]:

@@ -15,7 +15,7 @@ from quillspark.functions.textnorm import fold, lookup_keys, loosen
 from quillspark.operators import aliases, senses
 from quillspark.plans import index
 from quillspark.plans.stage import staged
-from quillspark.sources.records import parse_records, split_links
+from quillspark.sources.records import BODY_COLUMNS, parse_records, split_links
 
 
 @dataclass
@@ -38,9 +38,8 @@ def convert(records: DataFrame) -> Converted:
     found = parsed.where("id IS NOT NULL")
     place = F.col("ord") * 1000 + F.col("kind_no")
     locator = F.col("record_kind") == "converted_derived_locator"
-    body = ["headword", "display", "homograph", "parent_id", "pronunciations", "forms", "labels", "pos_groups"]
-    rows = found.select("id", place.alias("ord"), "kind", locator.alias("locator"), F.array("key").alias("source_keys"), *body)
-    entries = staged(index.merge_entries(rows, body))
+    rows = found.select("id", place.alias("ord"), "kind", locator.alias("locator"), F.array("key").alias("source_keys"), *BODY_COLUMNS)
+    entries = staged(index.merge_entries(rows, BODY_COLUMNS).withColumn("parent_id", F.col("parent.id")))
     direct = found.select(F.explode("postings").alias("p"), "id", "headword", place.alias("ord")).select("p.norm", F.col("id").alias("entry_id"), "p.sense_id", "p.match", "headword", "p.key_raw", "ord")
     ledger = parsed.groupBy("key", "ord", "record_kind").agg(F.array_sort(F.collect_list(F.struct("kind_no", "id"))).alias("x"), F.max(F.size("issues")).alias("issues"))
     ids = F.filter(F.transform("x", lambda x: x["id"]), lambda i: i.isNotNull())
@@ -90,6 +89,13 @@ def counts(done: Converted) -> DataFrame:
     return out
 
 
+def pack_tables(done: Converted) -> tuple[DataFrame, DataFrame]:
+    """Entries and lookup rows as ``sources.packs.write_pack`` takes them; sense trees are parsed, so that they are written as JSON, not as text."""
+    source = F.struct(F.col("source_keys").alias("mdx_keys"), F.col("id").alias("anchor")).alias("source")
+    body = [F.parse_json("pos_groups").alias(c) if c == "pos_groups" else F.col(c) for c in BODY_COLUMNS]
+    return done.entries.select("id", "kind", source, *body), index.nested(done.postings)
+
+
 def pairing_counts(nodes: DataFrame) -> DataFrame:
     """Structure of definition nodes (key, en, zh, has_zh_node): by node, then by record, one row."""
     chinese = F.coalesce(F.col("zh").rlike("[一-鿿]"), F.lit(False))

@@ -1,63 +1,152 @@
 """Keyed HTML records to entries, postings and issues.
 
-One table function call a record; the classes that hold each field are a
-parameter (``Layout``), so that other sources of the same shape need no code.
+One table function call a record. A page is walked once: every element is filed, by its class, with
+the innermost unit (entry, phrasal verb, run-on, sense, subsense) that holds it; entries are then
+read off the units. The classes that hold each field are a parameter (``Layout``), so that other
+sources of the same shape need no code.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.phrases import loose_key, phrase_keys
+from quillspark.functions.phrases import key_pair, loose_key, phrase_keys, squeeze
 from quillspark.sources.html import Node, tree
 
 #: Fixed value: how a redirect record begins.
 LINK = "@@@LINK="
 
+#: Boxes that belong to no entry; boxes that hold no senses; what a definition's text leaves out; where an entry's head ends.
+DROPPED = ["at-link", "popup-button", "verbtable", "etymology", "etymbox", "thesbox", "usagebox", "grambox", "f2nbox", "popwf", "wf", "entrymenu", "pope_menu", "errorbox", "imgholder", "popexa", "popthes", "popcollo", "popetym", "popphrase"]
+NO_SENSES = ["phrvbentry", "phrvbs", "runon", "collobox", "exponent", "example", "exas", "menuitem"]
+ASIDE = ["example", "exas", "exaen", "colloinexa", "gramexa", "colloexa", "collo", "propform", "propformprep", "cllt", "cl"]
+BODY = ["sense", "phrvbs", "phrvbentry", "runon", "tail", "spokensect", "collobox"]
+#: Class of an inflected form and its type; class of a label and its type.
+INFLECTIONS = {"pluralform": "plural", "pasttense": "past", "pastpart": "past_participle", "prespart": "present_participle", "t3perssing": "third_person", "superl": "superlative", "ptandpp": "past_and_past_participle"}
+LABELS = {"registerlab": "register", "geo": "geo", "ac": "domain"}
+
 
 @dataclass(frozen=True)
 class Layout:
-    """Class names of a source's fields; several names are alternatives."""
-
-    entry: tuple[str, ...] = ("entry",)
-    headword: tuple[str, ...] = ("hwd",)
-    display: tuple[str, ...] = ("hyphenation",)
-    homograph: tuple[str, ...] = ("homnum",)
-    pos: tuple[str, ...] = ("pos",)
-    grammar: tuple[str, ...] = ("gram",)
-    label: tuple[str, ...] = ("registerlab", "geo", "ac")
-    pron: tuple[str, ...] = ("pron",)
-    pron_us: tuple[str, ...] = ("amevarpron",)
-    sense: tuple[str, ...] = ("sense",)
-    subsense: tuple[str, ...] = ("subsense",)
-    number: tuple[str, ...] = ("sensenum",)
-    signpost: tuple[str, ...] = ("signpost",)
-    definition: tuple[str, ...] = ("def",)
-    chinese: tuple[str, ...] = ("tran",)
-    lexunit: tuple[str, ...] = ("lexunit",)
-    pattern: tuple[str, ...] = ("propform", "propformprep", "pattern")
-    collocation: tuple[str, ...] = ("colloc", "collo", "collocate")
-    phrasal: tuple[str, ...] = ("phrvbentry",)
-    phrasal_head: tuple[str, ...] = ("phrvbhwd",)
-    runon: tuple[str, ...] = ("runon",)
-    runon_head: tuple[str, ...] = ("deriv",)
-    inflection: tuple[str, ...] = ("pluralform", "ptandppx", "pasttense", "pastpart", "prespart", "comp", "superl")
-    reference: tuple[str, ...] = ("crossref",)
-    front_matter: tuple[str, ...] = ("dict-faq",)
-    dropped: frozenset[str] = field(default_factory=lambda: frozenset(DROPPED))
-
-
-#: Classes of boxes that belong to no sense.
-DROPPED = ["at-link", "popup-button", "verbtable", "etymology", "etymbox", "thesbox", "usagebox", "grambox", "f2nbox", "popwf", "wf", "entrymenu", "pope_menu", "errorbox", "imgholder", "popexa", "popthes", "popcollo", "popetym", "popphrase", "example", "exas"]
+    """Class names of a source's fields; several names are alternatives, the first that is there counts."""
+
+    entry: str = "entry"
+    phrasal: str = "phrvbentry"
+    runon: str = "runon"
+    sense: str = "sense"
+    subsense: str = "subsense"
+    headword: tuple[str, ...] = ("hwd", "hyphenation")
+    phrasal_head: tuple[str, ...] = ("phrvbhwd", "entryhead")
+    runon_head: str = "deriv"
+    homograph: str = "homnum"
+    pos: str = "pos"
+    grammar: str = "gram"
+    codes: str = "proncodes"
+    pron: str = "pron"
+    pron_us: tuple[str, ...] = ("amevarpron", "amepron")
+    level: str = "level"
+    frequency: str = "freq"
+    number: str = "sensenum"
+    signpost: str = "signpost"
+    definition: str = "def"
+    full_form: str = "fullform"
+    lexunit: str = "lexunit"
+    patterns: tuple[str, ...] = ("propform", "propformprep")
+    lexvar: str = "lexvar"
+    variant: str = "variant"
+    collocation: str = "collocate"
+    collocation_box: str = "collobox"
+    collocation_text: tuple[str, ...] = ("colloc", "collo")
+    collocation_gloss: str = "collgloss"
+    references: tuple[str, ...] = ("refhwd", "reflex")
+    reference_homograph: str = "refhomnum"
+    reference_sense: str = "refsensenum"
+    reference_mark: str = "crossref"
+    tail: str = "tail"
+    front_matter: str = "dict-faq"
+    labels: dict[str, str] = field(default_factory=lambda: LABELS)
+    inflections: dict[str, str] = field(default_factory=lambda: INFLECTIONS)
+    dropped: frozenset[str] = frozenset(DROPPED)
+
+
 LAYOUT = Layout()
-ENTRY = "kind_no int, record_kind string, id string, kind string, headword string, display string, homograph int, parent_id string, pronunciations array<struct<ipa:string,accent:string>>, forms array<string>, labels array<string>, pos_groups string, postings array<struct<norm:string,sense_id:string,match:string,key_raw:string>>, issues array<string>"
+_BODY, _ASIDE, _NO_SENSES = frozenset(BODY), frozenset(ASIDE), frozenset(NO_SENSES)
+LABEL = "array<struct<type:string,value:string,scope:string>>"
+PHRASE = f"array<struct<id:string,type:string,text:string,definition:struct<en:string,zh:string>,labels:{LABEL},sense_id:string,patterns:array<string>>>"
+REFERENCE = "array<struct<text:string,href:string,homograph:int,sense:string,relation:string>>"
+#: What of an entry is a column; the sense tree has no fixed depth and stays JSON text.
+BODY_COLUMNS = ["headword", "display", "homograph", "pronunciations", "frequency", "inflections", "pos_groups", "phrases", "cross_refs", "parent", "notes"]
+ENTRY = (
+    "kind_no int, record_kind string, id string, kind string, headword string, display string, homograph int, pronunciations array<struct<ipa:string,accent:string,raw:string>>, "
+    "frequency struct<stars:string,spoken:string,written:string>, inflections array<struct<type:string,form:string>>, pos_groups string, "
+    f"phrases {PHRASE}, cross_refs {REFERENCE}, parent struct<id:string,headword:string,relation:string>, notes array<string>, "
+    "postings array<struct<norm:string,sense_id:string,match:string,key_raw:string>>, issues array<string>"
+)
+#: Units of a page may hold one another this deep; a page with deeper ones is an issue, not an entry.
+MOST_NESTED = 200
 LEXICAL = re.compile("[A-Za-z0-9À-ɏ一-鿿]")
+ABBREVIATION = re.compile(r"abbreviation\s+of\.?\Z", re.IGNORECASE)
+
+
+@dataclass(eq=False, slots=True)
+class Spot:
+    """An element in its place: the unit it is filed with, and the classes between the two."""
+
+    node: Node
+    unit: Unit | None
+    above: frozenset[str]
+    anchor: str | None
+    href: str | None
+    siblings: list[Node]
+    order: int = 0
+    head: bool = False
+
+    def around(self, unit: Unit) -> set[str]:
+        """Classes of the elements between this one and a unit that holds it."""
+        found, at = set(self.above), self.unit
+        while at is not None and at is not unit and at.spot is not None:
+            found |= at.spot.node.classes | at.spot.above
+            at = at.spot.unit
+        return found
+
+
+@dataclass(eq=False, slots=True)
+class Unit:
+    role: str
+    spot: Spot | None
+    filed: dict[str, list[Spot]] = field(default_factory=lambda: defaultdict(list))
+    units: list[Unit] = field(default_factory=list)
+    headless: bool = False  # whether the head has ended
+
+    def within(self) -> Iterator[Unit]:
+        todo = [self]
+        while todo:
+            unit = todo.pop()
+            yield unit
+            todo.extend(reversed(unit.units))
+
+    def every(self, name: str, *roles: str) -> list[Spot]:
+        """Spots of a class here and in the units below, or those below of the given roles, in order."""
+        found = [s for u in self.within() if u is self or not roles or u.role in roles for s in u.filed.get(name, ())]
+        return sorted(found, key=lambda s: s.order)
+
+    def heads(self, *names: str) -> list[Spot]:
+        return sorted((s for n in names for s in self.filed.get(n, ()) if s.head), key=lambda s: s.order)
+
+
+def anchor_name(node: Node) -> str | None:
+    return (node.attrs.get("id") or node.attrs.get("name")) if node.tag == "a" else None
+
+
+def once(items: Iterable) -> list:
+    return list(dict.fromkeys(x for x in items if x))
 
 
 class Record:
@@ -66,101 +155,341 @@ class Record:
     def __init__(self, key: str, html: str, layout: Layout = LAYOUT):
         self.key, self.at, self.issues = key, layout, []
         self.root = tree(html)
-        self.used: dict[str, int] = {}
-
-    def text(self, node: Node | None, classes: tuple[str, ...], skip: set[str] | None = None) -> str | None:
-        found = node.first(*classes) if node else None
-        out = found.text(self.at.dropped | (skip or set())) if found else ""
-        return out if LEXICAL.search(out) else None
-
-    def texts(self, node: Node, classes: tuple[str, ...]) -> list[str]:
-        return list(dict.fromkeys(x for n in node.find(*classes) if LEXICAL.search(x := n.text(self.at.dropped))))
-
-    def new_id(self, headword: str, kind: str) -> str:
-        base = re.sub("[^a-z0-9]+", "-", loose_key(headword)).strip("-")[:80] or "x"
-        base = base if kind in ("word", "see_also") else f"{base}.{kind}"
-        self.used[base] = self.used.get(base, 0) + 1
-        return f"{loose_key(self.key)}/{base}" + (f".{self.used[base]}" if self.used[base] > 1 else "")
-
-    def definition(self, node: Node, stop: tuple[str, ...]) -> dict:
-        """The first pair found outside nested senses; a shell without words gives nulls."""
-        inner = {id(x) for s in node.find(*stop) for x in s.walk()}
-        own = [n for n in node.walk() if n is not node and id(n) not in inner]
-        pick = lambda classes, skip: next((t for n in own if (n.classes & set(classes) or n.tag in classes) and LEXICAL.search(t := n.text(skip))), None)
-        return {"en": pick(self.at.definition, set(self.at.chinese) | self.at.dropped), "zh": pick(self.at.chinese, set(self.at.dropped))}
-
-    def sense(self, node: Node, id_: str, nested: bool = False) -> dict:
-        below = [] if nested else list(node.find(*self.at.subsense))
+        self.page = Unit("page", None)
+        self.classes: set[str] = set()
+        self.too_deep = False
+        # the classes that anything asks for further down; others are not carried along
+        self.carried = _ASIDE | _NO_SENSES | {"group", "wswd", layout.definition, layout.tail, layout.subsense, layout.collocation_box, *layout.pron_us}
+        self._walk()
+
+    # -- one walk -----------------------------------------------------------------------
+    def _walk(self) -> None:
+        todo = [Spot(self.root, self.page, frozenset(), None, None, [])]
+        order = 0
+        while todo:
+            spot = todo.pop()
+            node, inner, above = spot.node, spot.unit, spot.above
+            if node is not self.root:
+                order += 1
+                spot.order = order
+                classes = node.classes
+                self.classes |= classes
+                inner, above = self._file(spot, classes)
+            href = (node.attrs.get("href") if node.tag == "a" else None) or spot.href
+            below = [c for c in node.children if isinstance(c, Node) and not c.classes & self.at.dropped]
+            # an anchor names the next element with a class; bare elements between them do not count
+            named, placed = None, []
+            for child in below:
+                leading = next((c for c in child.children if isinstance(c, Node)), None)
+                placed.append(Spot(child, inner, above, named or (anchor_name(leading) if leading else None), href, below))
+                named = anchor_name(child) or (None if child.classes and child.tag != "a" else named)
+            todo.extend(reversed(placed))
+
+    def _file(self, spot: Spot, classes: set[str]) -> tuple[Unit, frozenset[str]]:
+        unit = spot.unit
+        holders = [unit]
+        while holders[-1].spot is not None:
+            holders.append(holders[-1].spot.unit)
+        entry = next((u for u in holders if u.role in ("entry", "phrasal", "runon")), None)
+        if entry is not None:
+            for holder in holders:
+                holder.headless = holder.headless or bool(classes & _BODY)
+            spot.head = not unit.headless
+        for name in classes:
+            unit.filed[name].append(spot)
+        role = self._role(classes, spot, {u.role for u in holders}, entry)
+        self.too_deep |= role is not None and len(holders) > MOST_NESTED
+        if role is None or self.too_deep:
+            return unit, spot.above | more if (more := classes & self.carried - spot.above) else spot.above
+        opened = Unit(role, spot)
+        unit.units.append(opened)
+        return opened, frozenset()
+
+    def _role(self, classes: set[str], spot: Spot, held: set[str], entry: Unit | None) -> str | None:
+        if entry is None:
+            return "entry" if self.at.entry in classes else None
+        if self.at.phrasal in classes and "phrasal" not in held:
+            return "phrasal"
+        if self.at.runon in classes and "runon" not in held:
+            return "runon"
+        if spot.above & _NO_SENSES:
+            return None
+        if self.at.sense in classes and spot.unit.role in ("entry", "phrasal"):
+            return "sense"
+        return "subsense" if self.at.subsense in classes and spot.unit.role in ("sense", "subsense") else None
+
+    # -- fields ---------------------------------------------------------------------------
+    def pair(self, node: Node, english: tuple[str, ...], chinese: tuple[str, ...]) -> dict:
+        """The first text of either language; its elements are named by tags."""
+        skip = _ASIDE | self.at.dropped
+        first = lambda tags: next((t for n in node.walk() if n.tag in tags and not n.classes & skip and (t := n.text(skip))), None)
+        return {"en": first(english), "zh": first(chinese)}
+
+    def definition(self, unit: Unit) -> dict:
+        """The first gloss that holds letters, with the full forms printed beside it; a shell of collocations is none."""
+        blocked = _ASIDE | {self.at.collocation_box, self.at.subsense, "exponent"}
+        found = {"en": None, "zh": None}
+        for spot in unit.filed.get(self.at.definition, ()):
+            if spot.above & blocked:
+                continue
+            pair = {k: v if v and LEXICAL.search(v) else None for k, v in self.pair(spot.node, ("en",), ("tran",)).items()}
+            if not any(pair.values()):
+                plain = spot.node.text(_ASIDE | self.at.dropped)
+                pair["en"] = plain if LEXICAL.search(plain) else None
+            if any(pair.values()):
+                found = pair
+                break
+        return found
+
+    def with_full_forms(self, unit: Unit, english: str | None) -> str | None:
+        forms = once(s.node.text() for s in unit.filed.get(self.at.full_form, ()) if self.at.definition not in s.above)
+        missing = " / ".join(f for f in forms if LEXICAL.search(f) and f.casefold() not in (english or "").casefold())
+        if not missing or not english:
+            return english or missing or None
+        return f"{english.rstrip('.')} {missing}" if ABBREVIATION.search(english) else f"{english} ({missing})"
+
+    def labels(self, spots: Iterable[Spot], scope: str) -> list[dict]:
+        found = once((next(kind for name, kind in self.at.labels.items() if name in s.node.classes), s.node.text()) for s in spots)
+        return [{"type": kind, "value": value, "scope": scope} for kind, value in found if value]
+
+    def labels_in(self, unit: Unit, scope: str) -> list[dict]:
+        blocked = _ASIDE | {self.at.collocation_box, self.at.phrasal, self.at.runon}
+        spots = (s for name in self.at.labels for s in unit.every(name, "subsense") if not s.around(unit) & blocked)
+        return self.labels(spots, scope)
+
+    def grammar(self, spots: Iterable[Spot]) -> list[str]:
+        return [g for s in spots for part in re.split("[,;]", s.node.text().strip("[]")) if (g := part.strip("[] "))]
+
+    def pos(self, spots: Iterable[Spot]) -> list[str]:
+        return [p for s in spots for part in re.split("[,/，]", s.node.text()) if (p := part.strip(" .;"))]
+
+    def references(self, unit: Unit, inside: str | None = None) -> list[dict]:
+        """Cross references of a unit and all below it, with homograph and sense where they stand beside the word."""
+        found = {}
+        for name in self.at.references:
+            for spot in unit.every(name):
+                around = spot.around(unit)
+                if around & _ASIDE or inside is not None and inside not in around:
+                    continue
+                text = spot.node.text()
+                text = text[3:].strip() if text.casefold().startswith("at ") else text
+                digits = re.sub(r"\D", "", self.beside(spot, self.at.reference_homograph) or "")
+                sense = (self.beside(spot, self.at.reference_sense) or "").strip("()").strip()
+                number = int(digits[:9]) if digits else 0
+                if text:
+                    row = text, (spot.node.attrs.get("href") if spot.node.tag == "a" else None) or spot.href, number or None, sense or None
+                    found.setdefault(row, dict(zip(("text", "href", "homograph", "sense", "relation"), (*row, "see"), strict=True)))
+        return list(found.values())
+
+    def beside(self, spot: Spot, name: str) -> str | None:
+        """Text of a sibling: the first that follows, else the first of all."""
+        place = next(i for i, n in enumerate(spot.siblings) if n is spot.node)
+        near = (n for n in (*spot.siblings[place + 1 :], *spot.siblings) if name in n.classes)
+        node = next(near, None)
+        return None if node is None else node.text()
+
+    def coded(self, codes: Node) -> list[tuple[str, str, str]]:
+        """(ipa, accent, raw) of a block of codes: the first British and the first American one, else all of it, of no accent."""
+        raw = codes.text()
+        american = [n for n in codes.walk() if n.classes & set(self.at.pron_us)]
+        under = {id(x) for n in american for x in n.walk()}
+        british = [n for n in codes.walk() if self.at.pron in n.classes and id(n) not in under]
+        out = [(nodes[0].text(), accent) for nodes, accent in ((british, "br"), (american, "us")) if nodes]
+        out = [(ipa, accent, raw) for text, accent in out if (ipa := text.lstrip("$ ") if accent == "us" else text)]
+        rest = squeeze(raw.replace("/", " ").replace("$", " "))
+        return out or ([(rest, "unspecified", raw)] if rest else [])
+
+    def pronunciations(self, spots: Iterable[Spot]) -> list[dict]:
+        found = {}
+        for spot in spots:
+            if self.at.codes in spot.node.classes:
+                rows = self.coded(spot.node)
+            elif spot.node.classes & set(self.at.pron_us) or spot.above & set(self.at.pron_us):
+                continue
+            else:
+                text = spot.node.text()
+                rows = [(text, "br", text)] if text else []
+            for ipa, accent, raw in rows:
+                found.setdefault((ipa, accent), {"ipa": ipa, "accent": accent, "raw": raw})
+        return list(found.values())
+
+    # -- senses ---------------------------------------------------------------------------
+    def sense(self, unit: Unit, id_: str, placed: list[tuple[Unit, dict]]) -> dict:
+        """The sense of a unit; it and those below go to ``placed``, in order."""
+        at, own = self.at, unit.filed.get
+        number = next((s.node.text().strip(".") for s in own(at.number, ())), None)
+        sense: dict = {"id": id_, "number": number or None, "signpost": None}
+        placed.append((unit, sense))
+        below = [self.sense(u, u.spot.anchor or f"{id_}.{i}", placed) for i, u in enumerate((u for u in unit.units if u.role == "subsense"), 1)]
+        if post := next(iter(own(at.signpost, ())), None):
+            pair = self.pair(post.node, ("en", "signen"), ("tran", "sign"))
+            pair = pair if any(pair.values()) else {"en": post.node.text() or None, "zh": None}
+            sense["signpost"] = pair if any(pair.values()) else None
+        shown = {"example", "exas", "exaen", at.collocation_box}
+        definition = self.definition(unit)
+        definition["en"] = self.with_full_forms(unit, definition["en"])
+        units = once(s.node.text() for s in own(at.lexunit, ()) if "menuitem" not in s.above)
+        given = {"en": None, "zh": None} if below else definition
+        sense |= {
+            "grammar": self.grammar(own(at.grammar, ())), "labels": self.labels_in(unit, "sense"),
+            "patterns": once(s.node.text() for name in at.patterns for s in unit.every(name, "subsense") if not s.around(unit) & shown),
+            "lexunits": units, "definition": definition, "cross_refs": self.references(unit),
+            "phrases": [{"id": f"{id_}#lu{j}", "type": "lexical_unit", "text": t, "definition": given, "labels": [], "sense_id": id_, "patterns": []} for j, t in enumerate(units, 1)],
+            "senses": below,
+        }
+        return sense
+
+    def senses(self, unit: Unit, id_: str) -> tuple[list[dict], list[tuple[Unit, dict]]]:
+        placed: list[tuple[Unit, dict]] = []
+        nodes = [u for u in unit.units if u.role == "sense"]
+        return [self.sense(u, u.spot.anchor or f"{id_}#s{i}", placed) for i, u in enumerate(nodes, 1)], placed
+
+    def attach_variants(self, placed: list[tuple[Unit, dict]]) -> None:
+        """Printed variants become patterns of their sense: by its anchor, else by its number, else of the only sense."""
+        for unit, sense in placed:
+            bare = (s.node for s in unit.every(self.at.variant, "subsense") if s.node.first(self.at.lexvar) is None)
+            variants = [s.node.text() for s in unit.every(self.at.lexvar, "subsense")] + [t for n in bare if not (t := n.text()).casefold().startswith("also")]
+            target = sense if unit.spot.anchor else next((s for _, s in placed if sense["number"] and s["number"] == sense["number"]), placed[0][1] if len(placed) == 1 else None)
+            if target is not None:
+                target["patterns"] = once([*target["patterns"], *variants])
+
+    # -- entries --------------------------------------------------------------------------
+    def collocations(self, unit: Unit, id_: str) -> list[dict]:
+        out = []
+        for i, spot in enumerate(unit.every(self.at.collocation), 1):
+            node = spot.node
+            text = (next((n for n in map(node.first, self.at.collocation_text) if n), None) or node).text()
+            if text and self.at.collocation_box in spot.around(unit):
+                gloss = node.first(self.at.collocation_gloss)
+                meaning = {"en": gloss.text().strip("()= ") or None if gloss else None, "zh": None}
+                out.append({"id": f"{id_}#col{i}", "type": "collocation", "text": text, "definition": meaning, "labels": [], "sense_id": None, "patterns": []})
+        return out
+
+    def main(self, unit: Unit) -> dict | None:
+        at = self.at
+        heads = [s.node.text() for name in at.headword for s in unit.every(name, "sense", "subsense")]
+        headword = next((h for h in heads if h), None)
+        if headword is None:
+            self.issues.append("missing_headword")
+            return None
+        digits = next((d for s in unit.heads(at.homograph) if (d := re.sub(r"\D", "", s.node.text()))), None)
+        homograph = int(digits[:9]) if digits else None
+        id_ = unit.spot.anchor or f"key:{slug(headword)}:{homograph or 1}"
+        refers = at.definition not in self.classes and at.reference_mark in self.classes
+        senses, placed = self.senses(unit, id_)
+        self.attach_variants(placed)
+        levels = {"stars": None, "spoken": None, "written": None}
+        for spot in unit.heads(at.level, at.frequency):
+            text = spot.node.text()
+            name = "stars" if at.level in spot.node.classes else {"S": "spoken", "W": "written"}.get(text[:1])
+            if name and text:
+                levels[name] = text
+        pos = [s for s in unit.heads(at.pos) if not s.above & {"wswd", "wf", "group"}]
+        group = {"pos": once(self.pos(pos)), "grammar": once(self.grammar(unit.heads(at.grammar))), "labels": self.labels(unit.heads(*at.labels), "pos"), "senses": senses}
+        forms = [{"type": kind, "form": t} for s in unit.heads(*at.inflections) for name, kind in at.inflections.items() if name in s.node.classes and (t := s.node.text())]
         return {
-            "id": id_, "number": self.text(node, self.at.number), "signpost": self.text(node, self.at.signpost), "definition": self.definition(node, () if nested else self.at.subsense),
-            "lexunits": self.texts(node, self.at.lexunit), "patterns": self.texts(node, self.at.pattern), "senses": [self.sense(s, f"{id_}.{i}", True) for i, s in enumerate(below, 1)],
+            "id": id_, "kind": "see_also" if refers else "word", "headword": headword, "homograph": homograph, "pronunciations": self.pronunciations(unit.heads(at.codes, at.pron)),
+            "frequency": levels if any(levels.values()) else None, "inflections": forms, "groups": [group], "phrases": self.collocations(unit, id_),
+            "cross_refs": self.references(unit, None if refers else at.tail), "parent": None, "notes": ["no_standard_def; cross-reference entry"] if refers else [],
         }
 
-    def entry(self, node: Node, headword: str, kind: str, parent: str | None = None) -> tuple:
-        id_ = self.new_id(headword, kind)
-        inner = {id(x) for s in node.find(*self.at.phrasal, *self.at.runon) for x in s.walk()} if parent is None else set()
-        nodes = [s for s in node.find(*self.at.sense) if id(s) not in inner]
-        senses = [self.sense(s, f"{id_}#s{i}") for i, s in enumerate(nodes, 1)]
-        if not senses and any(self.definition(node, ()).values()):
-            senses = [self.sense(node, f"{id_}#s1", True)]
-        prons = [{"ipa": p, "accent": a} for a, c in (("br", self.at.pron), ("us", self.at.pron_us)) for p in self.texts(node, c)]
-        homograph = re.search(r"\d+", self.text(node, self.at.homograph) or "")
-        display = self.text(node, self.at.display)
-        forms = self.texts(node, self.at.inflection)
-        groups = [{"pos": self.texts(node, self.at.pos)[:1], "grammar": self.texts(node, self.at.grammar)[:1], "senses": senses}]
-        hits = [(loose_key(headword), None, "phrasal_verb" if kind == "phrasal_verb" else "headword", headword)]
-        hits += [(loose_key(display), None, "display", display)] if display else []
-        hits += [(loose_key(f), None, "inflection", f) for f in forms]
-        hits += [(loose_key(self.key), None, "mdx_key", self.key)] if parent is None else []
-        for s in senses:
-            for unit, match in [*((u, "lexical_unit") for u in s["lexunits"]), *((p, "phrase_pattern") for p in s["patterns"])]:
-                hits += [(k, s["id"], match, unit) for k in phrase_keys(unit)]
-        for phrase in self.texts(node, self.at.collocation):
-            hits += [(k, None, "collocation", phrase) for k in phrase_keys(phrase)]
-        hits = list(dict.fromkeys(h for h in hits if h[0]))
-        return id_, kind, headword, display, int(homograph[0]) if homograph else None, parent, prons, forms, self.texts(node, self.at.label), json.dumps(groups, ensure_ascii=False), hits
-
-    def entries(self) -> list[tuple]:
+    def phrasal(self, unit: Unit, parent: dict) -> dict | None:
+        spot = next((s[0] for name in self.at.phrasal_head if (s := unit.every(name))), None)
+        headword = squeeze(spot.node.text().replace("↔", " ↔ ")) if spot else ""
+        id_ = unit.spot.anchor or f"{parent['id']}#pv:{slug(headword)}"
+        group = {"pos": ["phrasal verb"], "grammar": once(self.grammar(unit.heads(self.at.grammar))), "labels": self.labels(unit.heads(*self.at.labels), "phrase"), "senses": self.senses(unit, id_)[0]}
+        return self.child(id_, "phrasal_verb", "phrasal_verb", headword, unit, parent, [], group, []) if headword else None
+
+    def runon(self, unit: Unit, parent: dict) -> dict | None:
+        spot = next(iter(unit.filed.get(self.at.runon_head, ())), None)
+        headword = re.sub(r"^[\s—–-]+", "", (spot or unit.spot).node.text())
+        id_ = unit.spot.anchor or f"{parent['id']}#deriv:{slug(headword)}"
+        definition = self.definition(unit)
+        bare = {"number": None, "signpost": None, "grammar": [], "labels": [], "patterns": [], "lexunits": [], "cross_refs": [], "phrases": [], "senses": []}
+        senses = [{"id": f"{id_}#s1", "definition": definition} | bare] if any(definition.values()) else []
+        own = lambda name: unit.filed.get(name, ())
+        group = {"pos": self.pos(own(self.at.pos)) or ["unknown"], "grammar": self.grammar(own(self.at.grammar)), "labels": self.labels_in(unit, "entry"), "senses": senses}
+        notes = [] if senses else [f"no independent definition; run-on of {parent['headword']}"]
+        return self.child(id_, "derived", "runon", headword, unit, parent, self.pronunciations(own(self.at.codes)), group, notes) if headword else None
+
+    def child(self, id_: str, kind: str, relation: str, headword: str, unit: Unit, parent: dict, prons: list, group: dict, notes: list[str]) -> dict:
+        return {
+            "id": id_, "kind": kind, "headword": headword, "homograph": None, "pronunciations": prons, "frequency": None, "inflections": [], "groups": [group], "phrases": [],
+            "cross_refs": self.references(unit), "parent": {"id": parent["id"], "headword": parent["headword"], "relation": relation}, "notes": notes,
+        }
+
+    def entries(self) -> list[dict]:
         out = []
-        tops = list(self.root.find(*self.at.entry)) or ([self.root] if self.root.first(*self.at.headword) else [])
-        for top in tops:
-            headword = self.text(top, self.at.headword)
-            if headword is None:
-                self.issues.append("no_headword")
+        if self.too_deep:
+            self.issues.append("too_deep")
+        for unit in [] if self.too_deep else self.page.units:
+            if not any(unit.every(name, "sense", "subsense") for name in self.at.headword[:1]):
+                continue  # a box of another kind
+            word = self.main(unit)
+            if word is None:
                 continue
-            only_refers = self.root.first(*self.at.definition) is None and self.root.first(*self.at.reference) is not None
-            word = self.entry(top, headword, "see_also" if only_refers else "word")
-            out.append(word)
-            for classes, heads, kind in ((self.at.phrasal, self.at.phrasal_head, "phrasal_verb"), (self.at.runon, self.at.runon_head, "derived")):
-                for node in top.find(*classes):
-                    if name := self.text(node, heads):
-                        out.append(self.entry(node, name, kind, word[0]))
+            inner = list(unit.within())
+            found = [word, *(self.phrasal(u, word) for u in inner if u.role == "phrasal"), *(self.runon(u, word) for u in inner if u.role == "runon")]
+            out += [e for e in found if e]
         return out
 
 
+def slug(text: str) -> str:
+    return re.sub("[^a-z0-9]+", "-", loose_key(text)).strip("-")[:80] or "x"
+
+
+def walk_tree(senses: Iterable[dict]) -> Iterator[dict]:
+    todo = [*reversed(list(senses))]
+    while todo:
+        sense = todo.pop()
+        yield sense
+        todo.extend(reversed(sense["senses"]))
+
+
+def postings(entry: dict, extra: Iterable[tuple[str, str]]) -> list[tuple]:
+    """(norm, sense_id, match, key_raw), once each: names of the entry, then what its senses and phrases are found by."""
+    hits: dict[tuple, None] = {}
+
+    def add(raw: str, match: str, sense: str | None = None) -> None:
+        hits.update(((norm, sense, match, raw), None) for norm in key_pair(raw))
+
+    add(entry["headword"], "headword")
+    for form in entry["inflections"]:
+        add(form["form"], "inflection")
+    for raw, match in extra:
+        add(raw, match)
+    phrases = [(p["text"], p["type"], None) for p in entry["phrases"]]
+    for sense in (s for g in entry["groups"] for s in walk_tree(g["senses"])):
+        phrases += [(t, "phrase", sense["id"]) for t in sense["lexunits"]] + [(t, "phrase_pattern", sense["id"]) for t in sense["patterns"]]
+    if entry["kind"] == "phrasal_verb":
+        phrases.append((entry["headword"], "phrasal_verb", None))
+    for text, match, sense in phrases:
+        for variant in phrase_keys(text):
+            add(variant, match, sense)
+    return list(hits)
+
+
 class _Parse:
     def eval(self, key: str | None, html: str | None) -> Iterator[tuple]:
         record = Record(key or "", html or "")
-        try:
-            found = record.entries()
-        except RecursionError:
-            found, record.issues = [], ["too_deep"]
+        found = record.entries()
         if not found:
-            front = record.root.first(*record.at.front_matter) is not None
-            yield 0, "excluded_aux" if front else "error", *[None] * 11, record.issues or ["front_matter" if front else "no_entry_node"]
+            front = not record.page.units and any(record.at.front_matter in c for c in record.classes)
+            yield 0, "excluded_aux" if front else "error", *[None] * 14, record.issues or ["front_matter_not_headword" if front else "no_entry_node"]
             return
         wanted = loose_key(record.key)
-        named = lambda e: loose_key(e[2]) == wanted
+        named = lambda e, *kinds: e["kind"] in kinds and loose_key(e["headword"]) == wanted
         # a page filed under one of its derived words only points to it
-        locator = any(named(e) for e in found if e[1] == "derived") and not any(named(e) for e in found if e[1] in ("word", "see_also"))
-        defined = any(re.search(r'"(en|zh)": "', e[9]) for e in found if e[1] == "word")
-        crossed = any(e[1] == "see_also" for e in found) and not defined
+        locator = any(named(e, "derived") for e in found) and not any(named(e, "word", "see_also") for e in found)
+        defined = any(s["definition"][x] for e in found if e["kind"] == "word" for s in e["groups"][0]["senses"] for x in ("en", "zh"))
+        crossed = any(e["kind"] == "see_also" for e in found) and not defined
         name = "converted_derived_locator" if locator else "converted_crossref" if crossed else "converted_partial" if record.issues else "converted"
         for n, e in enumerate(found):
-            hits = e[10]
-            if locator:
-                hits = [*hits, (wanted, None, "mdx_key", record.key), (wanted, None, "derived_locator", record.key)] if e[1] == "derived" and named(e) else []
-            yield n, name, *e[:10], hits, record.issues
+            here = named(e, "derived")
+            extra = [(record.key, "mdx_key")] + ([(record.key, "derived_locator")] if here else [])
+            hits = postings(e, extra) if here or not locator else []
+            body = e | {"display": e["headword"], "pos_groups": json.dumps(e["groups"], ensure_ascii=False)}
+            yield n, name, e["id"], e["kind"], *(body[c] for c in BODY_COLUMNS), hits, record.issues
 
 
 parse_record = F.udtf(_Parse, returnType=ENTRY)

@@ -176,7 +176,7 @@ def test_records(spark):
     got = records.parse_records(pages).collect()
     by = {(r.key, r.kind): r for r in got}
     word, verb = by["take", "word"], by["take", "phrasal_verb"]
-    assert word.record_kind == "converted" and verb.parent_id == word.id and word.forms == ["took"]
+    assert word.record_kind == "converted" and verb.parent.id == word.id and [tuple(f) for f in word.inflections] == [("past", "took")]
     norms = {(p.norm, p.match) for p in word.postings}
     assert {("take", "headword"), ("took", "inflection"), ("take into account", "phrase_pattern")} <= norms
     tree = json.loads(word.pos_groups)[0]["senses"]
