@@ -4,14 +4,21 @@ An import writes a new generation beside the old ones, checks it, and only then
 replaces the registry, by writing the new one under another name and renaming it. Readers
 resolve the generation once and filter on it, which prunes partitions. Generations no pack names are
 deleted afterwards; that this fails cannot undo an import.
+
+One import or clean-up runs at a time, and changes of the registry follow one another: each holds a lock
+file that only one caller can create. A driver that dies leaves its lock; ``unlock`` removes it.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +32,18 @@ from quillspark.sources import packs
 ENTRY = "id string, headword string, display string, kind string, homograph int, inflections array<struct<type:string,form:string>>, parent struct<id:string,headword:string,relation:string>, pos_groups string"
 LOOKUP = "norm string, matches array<struct<entry_id:string,sense_id:string,match:string,headword:string,key_raw:string>>"
 TABLES = ["entries", "postings", "forms"]
+#: Seconds that a change of the registry waits for another to end.
+REGISTRY_WAIT = 30.0
 
 
 class ImportFailed(ValueError):
     """The first error of a pack that was not imported; what was active stays active."""
 
 
+class LibraryBusy(RuntimeError):
+    """Another caller holds the lock; nothing was changed."""
+
+
 class Library:
     def __init__(self, spark: SparkSession, root: str, format_name: str = integrity.FORMAT):
         self.spark, self.root, self.format_name = spark, root.rstrip("/"), format_name
@@ -39,6 +52,32 @@ class Library:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
 
+    # -- locks --------------------------------------------------------------------------------
+    def _lock_path(self, name: str):
+        return self._path(f"{self.root}/{name}.lock")
+
+    @contextmanager
+    def _locked(self, name: str, wait: float = 0.0) -> Iterator[None]:
+        at, until = self._lock_path(name), time.monotonic() + wait
+        while True:
+            try:
+                self._fs.create(at, False).close()
+                break
+            except Py4JJavaError as error:
+                if "AlreadyExists" not in error.java_exception.getClass().getName():
+                    raise
+                if time.monotonic() >= until:
+                    raise LibraryBusy(f"{at.toString()} is held") from None
+                time.sleep(0.05)
+        try:
+            yield
+        finally:
+            self._fs.delete(at, False)
+
+    def unlock(self, name: str) -> bool:
+        """Removes a lock ("import" or "registry") whose holder is known to be gone."""
+        return self._fs.delete(self._lock_path(name), False)
+
     # -- registry: one small JSON object -------------------------------------------------
     def state(self) -> dict:
         """{"packs": [...], "active": id}."""
@@ -57,17 +96,24 @@ class Library:
         renames[0] = options.OVERWRITE
         self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri()).rename(self._path(new), old, renames)
 
+    @contextmanager
+    def _changed(self) -> Iterator[dict]:
+        """The registry, to be changed in place; it is written unless the body fails."""
+        with self._locked("registry", REGISTRY_WAIT):
+            state = self.state()
+            yield state
+            self._replace(state)
+
     def register(self, pack: dict) -> dict:
         """Adds a pack or replaces that of the same id, which keeps the name its user gave it; it becomes active."""
-        state = self.state()
-        known = {p["id"]: p for p in state["packs"]}
-        if pack["id"] in known:
-            pack = pack | {"name": known[pack["id"]]["name"]}
-            state["packs"] = [pack if p["id"] == pack["id"] else p for p in state["packs"]]
-        else:
-            state["packs"].append(pack)
-        state["active"] = pack["id"]
-        self._replace(state)
+        with self._changed() as state:
+            known = {p["id"]: p for p in state["packs"]}
+            if pack["id"] in known:
+                pack = pack | {"name": known[pack["id"]]["name"]}
+                state["packs"] = [pack if p["id"] == pack["id"] else p for p in state["packs"]]
+            else:
+                state["packs"].append(pack)
+            state["active"] = pack["id"]
         return pack
 
     def _known(self, state: dict, id_: str) -> dict:
@@ -77,17 +123,15 @@ class Library:
         return found
 
     def select(self, id_: str) -> None:
-        state = self.state()
-        self._known(state, id_)
-        self._replace(state | {"active": id_})
+        with self._changed() as state:
+            state["active"] = self._known(state, id_)["id"]
 
     def rename(self, id_: str, name: str) -> None:
         name = name.strip()
         if not 1 <= len(name) <= 80:
             raise ValueError("a name has 1 to 80 characters")
-        state = self.state()
-        self._known(state, id_)["name"] = name
-        self._replace(state)
+        with self._changed() as state:
+            self._known(state, id_)["name"] = name
 
     def active(self) -> dict | None:
         state = self.state()
@@ -110,7 +154,11 @@ class Library:
         return found
 
     def clean(self) -> set[str]:
-        """Deletes the generations that no pack names."""
+        """Deletes the generations that no pack names; not while an import stages one."""
+        with self._locked("import"):
+            return self._clean()
+
+    def _clean(self) -> set[str]:
         unused = self.generations() - {p["generation"] for p in self.state()["packs"]}
         for generation in unused:
             for name in TABLES:
@@ -120,6 +168,10 @@ class Library:
     # -- import -------------------------------------------------------------------------------
     def import_pack(self, path: str, folder: bool = False) -> dict:
         """Stages, checks and activates a pack; the first error leaves everything as it was."""
+        with self._locked("import"):
+            return self._import(path, folder)
+
+    def _import(self, path: str, folder: bool) -> dict:
         generation, activated = uuid.uuid4().hex, False
         try:
             lines = (packs.read_folder if folder else packs.read_zip)(self.spark, path)
@@ -139,7 +191,7 @@ class Library:
                 for name in TABLES:
                     self._fs.delete(self._path(self._dir(name, generation)), True)
         try:
-            self.clean()
+            self._clean()
         except Exception:  # noqa: BLE001  the import is done; unused generations go with the next one
             pass
         return pack

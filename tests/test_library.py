@@ -3,11 +3,12 @@
 import io
 import json
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.plans.library import ENTRY, LOOKUP, ImportFailed, Library
+from quillspark.plans.library import ENTRY, LOOKUP, ImportFailed, Library, LibraryBusy
 from quillspark.sources import packs
 
 
@@ -62,6 +63,27 @@ def test_bad_references_leave_the_active_pack(spark, tmp_path, wrong, why):
     assert library.active() == kept and library.generations() == {kept["generation"]}
 
 
+def test_one_import_at_a_time_and_no_lost_change(spark, tmp_path):
+    library = Library(spark, f"file://{tmp_path}/lib")
+    for n in range(6):
+        library.register({"id": f"p{n}", "name": "x", "generation": f"g{n}"})
+    (tmp_path / "lib/entries/generation=staging").mkdir(parents=True)
+    with library._locked("import"):
+        with pytest.raises(LibraryBusy):
+            library.import_pack(f"file://{tmp_path}/none.zip")
+        with pytest.raises(LibraryBusy):
+            library.clean()
+    assert library.generations() == {"staging"} == library.clean() and library.generations() == set()
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda n: Library(spark, f"file://{tmp_path}/lib").rename(f"p{n}", f"name {n}"), range(6)))
+    assert [p["name"] for p in library.state()["packs"]] == [f"name {n}" for n in range(6)]
+    with pytest.raises(KeyError):
+        library.rename("none", "x")
+    assert not library.unlock("registry") and not library.unlock("import")  # a failure leaves no lock
+    (tmp_path / "lib/import.lock").touch()  # of a driver that died
+    assert library.unlock("import") and library.clean() == set()
+
+
 def rewrite(path, change, method=zipfile.ZIP_DEFLATED):
     with zipfile.ZipFile(path) as old:
         members = {n: old.read(n) for n in old.namelist()}
