@@ -415,3 +415,15 @@ def q38_ocr_entries(spark, sf):
 def q39_version_newer(spark, sf):
     latest = F.concat_ws(".", F.expr("CASE WHEN p_size % 3 = 0 THEN p_size ELSE 1 END"), F.expr("p_size % 5"))
     return table(spark, sf, "part").select("p_partkey", N.is_newer(latest, F.concat(F.expr("CAST(p_size % 7 AS STRING)"), F.lit("."), F.expr("CAST(p_size % 4 AS STRING)"))).alias("newer"))
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS key, 'word' AS kind, p_name AS headword, 'x_' || CAST(p_partkey AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS parent, p_type AS def_en, p_brand AS label, CAST(p_size AS VARCHAR) AS number, 'brims' AS form FROM part
+UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'derived', p_name || 'ness', 'd_' || CAST(p_partkey AS VARCHAR), 'x_' || CAST(p_partkey AS VARCHAR), CASE WHEN p_size % 2 = 0 THEN p_type END, NULL, NULL, NULL FROM part""")
+def q40_record_fields(spark, sf):
+    gloss = "CASE WHEN p_size % 2 = 0 THEN concat('<span class=\"def\"><en>', p_type, '</en></span>') ELSE '' END"
+    sense = "'<span class=\"sense\"><span class=\"sensenum\">', p_size, '.</span><span class=\"registerlab\">', p_brand, '</span><span class=\"def\"><en>', p_type, '</en></span></span>'"
+    head = "'<a name=\"x_', p_partkey, '\"></a><div class=\"entry\"><span class=\"hwd\">', p_name, '</span><span class=\"pluralform\">brims</span>'"
+    html_text = f"concat({head}, {sense}, '<a name=\"d_', p_partkey, '\"></a><span class=\"runon\"><span class=\"deriv\">', p_name, 'ness</span>', {gloss}, '</span></div>')"
+    pages = table(spark, sf, "part").selectExpr("CAST(p_partkey AS STRING) AS key", f"{html_text} AS value", "p_partkey AS ord")
+    first = lambda path: F.get_json_object("pos_groups", f"$[0].senses[0].{path}")
+    return records.parse_records(pages).select("key", "kind", "headword", "id", F.col("parent.id").alias("parent"), first("definition.en").alias("def_en"), first("labels[0].value").alias("label"), first("number").alias("number"), F.get("inflections", F.lit(0))["form"].alias("form"))
