@@ -426,4 +426,5 @@ def q40_record_fields(spark, sf):
     html_text = f"concat({head}, {sense}, '<a name=\"d_', p_partkey, '\"></a><span class=\"runon\"><span class=\"deriv\">', p_name, 'ness</span>', {gloss}, '</span></div>')"
     pages = table(spark, sf, "part").selectExpr("CAST(p_partkey AS STRING) AS key", f"{html_text} AS value", "p_partkey AS ord")
     first = lambda path: F.get_json_object("pos_groups", f"$[0].senses[0].{path}")
-    return records.parse_records(pages).select("key", "kind", "headword", "id", F.col("parent.id").alias("parent"), first("definition.en").alias("def_en"), first("labels[0].value").alias("label"), first("number").alias("number"), F.get("inflections", F.lit(0))["form"].alias("form"))
+    fields = records.parse_records(pages, ["id", "kind", "headword", "inflections", "pos_groups", "parent"])
+    return fields.select("key", "kind", "headword", "id", F.col("parent.id").alias("parent"), first("definition.en").alias("def_en"), first("labels[0].value").alias("label"), first("number").alias("number"), F.get("inflections", F.lit(0))["form"].alias("form"))

@@ -3,10 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.plans import convert
 from quillspark.plans.library import Library
-from quillspark.sources import packs, records
+from quillspark.sources import html, packs, records
 
 BRIM = """<a name="x_brim_1"></a><div class="entry"><span class="entryhead"><span class="hwd">brim</span><span class="homnum">2</span>
 <span class="proncodes">/<span class="pron">brɪ<i>m</i></span><span class="amevarpron">$ brim</span>/</span><span class="level">●●○</span><span class="freq">S3</span><span class="freq">W2</span>
@@ -92,3 +93,36 @@ def test_converted_pages_can_be_packed_and_imported(spark, tmp_path):
     assert library.import_pack(f"file://{tmp_path}/b.zip")["entries"] == len(entries)
     asked = spark.createDataFrame([(1, "brims"), (2, "B.")], "qid long, text string")
     assert {(r.qid, r.entry.headword) for r in library.lookup(asked).collect()} >= {(1, "brim"), (2, "B.")}
+
+
+def test_pages_of_one_partition_are_parsed_by_many_tasks(spark):
+    rows = spark.range(400).selectExpr("CAST(id AS STRING) AS key", "concat('<div class=\"entry\"><span class=\"hwd\">w', id, '</span></div>') AS value", "id AS ord").coalesce(1)
+    parsed = records.parse_records(rows)
+    assert sorted(r.ord for r in parsed.collect()) == list(range(400))
+    per_task = [r["count"] for r in parsed.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(per_task) >= 4 and max(per_task) <= 200
+
+
+def test_named_columns_are_those_of_all(spark):
+    rows = spark.createDataFrame([(k, v, i) for i, (k, v) in enumerate([("brim", BRIM), ("brimful", BRIM), ("B.", DOT), (None, None)])], "key string, value string, ord int")
+    whole, some = records.parse_records(rows), records.parse_records(rows, ["parent", "id"])
+    assert some.columns == ["key", "ord", "id", "parent"] and dict(some.dtypes)["ord"] == "int"
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, whole.select(*some.columns).collect()))
+
+
+def dump(node):
+    texts = [c if isinstance(c, str) else dump(c) for c in node.children]
+    return [node.tag, node.attrs, sorted(node.classes), texts]
+
+
+PLAIN = [BRIM, DOT, "", "x", "<P CLASS='a  b'>1 &amp; 2<p>3<li>4<ul><li>5<li>6</ul></x>", "<td>a<tr>b<br/>c<img src=\"i\"><b class='' >d</b\n>", "<a id='1' id=\"2\">&nbsp</a>", "a > b", "</p></p><i></b></i>"]
+OTHER = ["<a href='?x=1&y=2'>", "<b", "a < b", "<!-- c --><p>", "<script>a<b></script>", "<title>a<b></title>", "<x-y>", "<b c>", "<b c=d>", "<b c='>'>"]
+
+
+@pytest.mark.parametrize("page", PLAIN + OTHER)
+def test_trees_of_plain_pages_are_the_parsers(page, monkeypatch):
+    quick = html._plain_tree(page) if html._plain.fullmatch(page) else None
+    assert (quick is not None) == (page in PLAIN)
+    got = dump(html.tree(page))
+    monkeypatch.setattr(html, "_plain_tree", lambda page: None)
+    assert got == dump(html.tree(page))
